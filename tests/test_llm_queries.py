@@ -1,0 +1,101 @@
+"""Problems 1, 2, 6, 7 and 8 are registered and give whole results on the smallest tables."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from docweave.llm.endings import lost_end
+from docweave.llm.packing import plan_contexts
+
+ROOT = "/root/testdata/sf0.001"
+REPO = Path(entry.__file__).parent
+
+
+def rows(spark, name):
+    return [tuple(r) for r in entry.queries()[name](spark, ROOT).collect()]
+
+
+def test_every_problem_has_a_query():
+    names = {n.partition("_")[0] for n in entry.queries()}
+    assert names == {f"p{n}" for n in range(1, 9)}
+
+
+def test_a_missing_dependency_is_an_error():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; e.queries()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True)
+    assert done.returncode and "xxhash" in done.stderr
+
+
+def test_p1_found_is_its_sql(spark):
+    con = duckdb.connect()
+    for t in ("chunks", "nodes", "chunking_config"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{ROOT}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()["p1_found"]).fetchall()
+    got = rows(spark, "p1_found")
+    assert got and sorted(got) == sorted(want)
+
+
+def test_p1_pieces_cover_what_p1_found_lists(spark):
+    pieces = rows(spark, "p1_pieces")
+    assert {p[:2] for p in pieces} == set(rows(spark, "p1_found"))
+
+
+def test_p6_places_every_token_once(spark):
+    from docweave.llm.packing import token_sizes
+    from docweave.session import table
+
+    sizes = {r.doc_id: r.n_tokens for r in token_sizes(table(spark, ROOT, "documents")).collect()}
+    caps = {"small": 512, "medium": 2048, "large": 8192}
+    room, placed, parts = {}, {}, {}
+    for pack, no, doc, _, start, n in rows(spark, "p6_contexts"):
+        room[pack, no] = room.get((pack, no), 0) + n
+        placed.setdefault((pack, doc), []).append((start, n))
+        parts[pack, doc] = parts.get((pack, doc), 0) + 1
+    for (pack, _), n in room.items():
+        assert n <= caps[pack]
+    for pack, cap in caps.items():
+        for doc, n in sizes.items():
+            at = 0
+            for start, k in sorted(placed[pack, doc]):
+                assert start == at
+                at += k
+            assert at == n and parts[pack, doc] == -(-n // cap)
+
+
+def test_plan_places_each_size():
+    plan = plan_contexts({7: 3, 5: 4, 2: 9}, 10)
+    got = {}
+    for times, pattern in plan:
+        assert sum(s * n for s, n in pattern) <= 10
+        for s, n in pattern:
+            got[s] = got.get(s, 0) + times * n
+    assert got == {7: 3, 5: 4, 2: 9}
+
+
+def test_p7_reaches_the_shares(spark):
+    from docweave.llm.mixing import shares, uses
+
+    sizes = spark.createDataFrame([(i, "a" if i < 400 else "b", 10 + i % 7) for i in range(500)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 3), ("n", "a", 0.5, 1), ("n", "c", 0.5, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    got = {(r.mix_name, r.source): r.reached_share for r in shares(sizes, targets).collect()}
+    assert got["m", "a"] == pytest.approx(0.5, abs=0.005) and got["m", "b"] == pytest.approx(0.5, abs=0.005)
+    assert got["n", "a"] == 1 and got["n", "c"] == 0
+    most = {("m", "a"): 1, ("m", "b"): 3, ("n", "a"): 1}
+    assert all(1 <= r.uses <= most[r.mix_name, r.source] for r in uses(sizes, targets).collect())
+
+
+def test_p8_ends():
+    whole = ["Chủ đầu tư nộp hồ sơ./.", "Xong.\nTM. HỘI ĐỒNG\nCHỦ TỊCH", "Xong.\nSố trang: 34", "Xong.\nNơi nhận:\n- Như Điều 3;\n- Lưu: VT, KTV", "Xong.\nNgười đề nghị: ..........", "| a | b |\n|---|---|\n| 1 | 2 |", "The end.\n(Signed)", "theo mẫu số 4.", None, "  \n"]
+    lost = ["Bên thuê phải nộp hồ s", "Xong.\nĐiều 5", "Xong. Điều 5.", "Xong.\nĐiều 9. Chỉ tiêu", "cung ứng tại TP.", "The fee is due un...", "Every contractor is e…", "trong đó kho l�", "| a | b |\n|---|---|\n| 1 |", "Xong.\nPHÓ CHỦ TỊ", "mức phạt từ 827."]
+    assert [x for x in whole if lost_end(x)] == []
+    assert [x for x in lost if not lost_end(x)] == []
+
+
+def test_p2_and_p8_give_rows(spark):
+    pairs = rows(spark, "p2_found")
+    assert pairs and len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs)
+    assert rows(spark, "p8_found")
