@@ -1,0 +1,42 @@
+"""Pieces fit, repeat the overlap, and are cut where the text breaks whenever it does."""
+
+import random
+
+from docweave.llm.splitting import NATURAL, plan
+
+
+def weak_cuts(n, limit, o, marks):
+    """The fewest cuts that are not natural, by trying every place."""
+    best = {0: 0}
+    for at in range(n):
+        if at not in best:
+            continue
+        low, high = (at + 1, at + limit - o) if at else (o + 1, limit)
+        for c in range(low, min(high, n) + 1):
+            worth = best[at] + (c < n and marks.get(c, 0) < NATURAL)
+            best[c] = min(worth, best.get(c, worth))
+    return best[n]
+
+
+def check(n, limit, o, marks):
+    pieces = plan(n, limit, o, marks)
+    assert pieces[0].start == 0 and pieces[-1].end == n
+    assert all(0 < p.end - p.start <= limit for p in pieces)
+    assert all(b.start == a.end - o and b.end > a.end for a, b in zip(pieces, pieces[1:]))
+    return sum(p.strength < NATURAL for p in pieces)
+
+
+def test_a_stretch_without_boundaries_leaves_the_other_cuts_natural():
+    # 0-400 has a sentence every 60 words, 400-520 has word gaps only
+    marks = {c: 0.1 for c in range(1, 800)} | {c: 0.8 for c in (*range(60, 401, 60), 400, *range(520, 800, 60))}
+    assert check(800, 100, 0, marks) == weak_cuts(800, 100, 0, marks) == 1
+
+
+def test_fewest_unnatural_cuts_on_random_items():
+    rng = random.Random(3)
+    for _ in range(300):
+        n, limit = rng.randrange(30, 300), rng.randrange(8, 60)
+        o = rng.randrange(0, limit)
+        marks = {c: 0.1 for c in range(1, n)} | {c: rng.choice((0.4, 0.8, 5.0)) for c in rng.sample(range(1, n), rng.randrange(0, n // 6))}
+        if n > limit:
+            assert check(n, limit, o, marks) == weak_cuts(n, limit, o, marks)
