@@ -1,13 +1,13 @@
-"""Near-duplicate records with small edits (problem 2): pivot distance tables over fingerprints.
+"""Near-duplicate records with small edits (problem 2): prefix filter and set pivot table, without loss.
 
 A record is the set of its word triples; the Hamming distance of two sets, as bit vectors over all
 triples, is the size of their symmetric difference, so a Jaccard share of t or more is the same as a
 distance of at most (1 - t) / (1 + t) times the sum of the two sizes.
 
-1. Fingerprint: BLOCKS blocks of ROWS min-hash symbols of SYMBOL_BITS bits, one block per 64-bit word.
-2. Block pivot tables: for each block the Hamming distances to BLOCK_PIVOTS reference words. A pair whose
-   largest coordinate difference is above 0 in every block is discarded; the others are exactly the pairs
-   that an equi-join on (block, distance vector) finds, so the pairs discarded are never enumerated.
+1. Order: one order of all triples, the rare ones first, by a table of RARITY counts. Any order loses nothing.
+2. Prefixes: two sets that share s triples have one in common among the first n - s + 1 of each. Of the larger
+   set s is at least t * n, of the smaller 2 * t / (1 + t) * n. The pairs that an equi-join on the triples of
+   the prefixes finds, within the bounds on size and place, hold every pair that is alike.
 3. Set pivot table: the numbers of triples in CLASSES classes of the triple universe. Every union of classes is a
    reference set; by the triangle inequality no coordinate difference to any of these 2**CLASSES
    references can exceed the distance of the pair, and the largest of them is the sum of the absolute
@@ -32,29 +32,14 @@ from pyspark.sql import types as T
 
 from docweave.session import staged
 
-BLOCKS = 32
-ROWS = 5
-SYMBOL_BITS = 12
-BLOCK_PIVOTS = 16
 CLASSES = 32
-SEED = 20_240_607
+RARITY = 1 << 20
+#: The rarity table leaves a worker in so many rows.
+RARITY_ROWS = 16
 
 _U = np.uint64
 
 
-def _params() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Odd multipliers of the min-hashes, the reference words and the odd multipliers that pack a distance vector."""
-    rng = np.random.default_rng(SEED)
-    top = np.iinfo(np.uint64).max
-    mult = rng.integers(0, top, (BLOCKS, ROWS), dtype=np.uint64) | _U(1)
-    refs = rng.integers(0, 1 << (ROWS * SYMBOL_BITS), (BLOCKS, BLOCK_PIVOTS), dtype=np.uint64)
-    pack = rng.integers(0, top, (BLOCKS, BLOCK_PIVOTS), dtype=np.uint64) | _U(1)
-    return mult, refs, pack
-
-
-_MULT, _REFS, _PACK = _params()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor and multiply)."""
     h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
@@ -100,23 +85,20 @@ class TripleSets:
         b = np.add.reduceat(_mix(self.triple ^ _U(0x5851F42D4C957F2D)), self.first)
         return a, b
 
-    def block_keys(self) -> np.ndarray:
-        """(sets, BLOCKS): the block's distance vector to its reference words, packed with the block number."""
-        out = np.zeros((len(self.rows), BLOCKS), dtype=np.uint64)
+    def packed(self) -> list[bytes]:
+        """The sorted triples of each set, six bytes each."""
+        raw = self.triple.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        return [raw[i : i + n].tobytes() for i, n in zip(self.first, self.size)]
+
+    def prefixes(self, rarity: np.ndarray, tenths: int) -> pa.Array:
+        """The first triples of each set, the rarest first, as many as the larger set of a pair needs."""
         if not len(self.rows):
-            return out
-        h = _mix(self.triple)
-        mask = _U((1 << SYMBOL_BITS) - 1)
-        buf = np.empty_like(h)
-        for b in range(BLOCKS):
-            word = np.zeros(len(self.rows), dtype=np.uint64)
-            for r in range(ROWS):
-                np.multiply(h, _MULT[b, r], out=buf)
-                least = np.minimum.reduceat(buf, self.first)
-                word = (word << _U(SYMBOL_BITS)) | (_mix(least) & mask)
-            far = np.bitwise_count(word[:, None] ^ _REFS[b][None, :]).astype(np.uint64)
-            out[:, b] = _mix((far * _PACK[b][None, :]).sum(axis=1, dtype=np.uint64) + _U(b))
-        return out
+            return pa.array([], pa.list_(pa.int64()))
+        owner = np.repeat(np.arange(len(self.rows)), self.size)
+        order = np.lexsort((self.triple, rarity[(self.triple % _U(RARITY)).astype(np.int64)], owner))
+        length = prefix_length(self.size, tenths)
+        keep = np.arange(len(order)) - np.repeat(self.first, self.size) < np.repeat(length, self.size)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(self.triple[order][keep].view(np.int64)))
 
     def class_counts(self) -> np.ndarray:
         """(sets, CLASSES) bytes: triples per class; a number above 255 counts as 255, which keeps the bound sound."""
@@ -126,23 +108,18 @@ class TripleSets:
         return np.minimum(np.bincount(at, minlength=len(self.rows) * CLASSES), 255).astype(np.uint8).reshape(-1, CLASSES)
 
 
-_FINGERPRINT = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("set_a", T.LongType()),
-        T.StructField("set_b", T.LongType()),
-        T.StructField("n", T.IntegerType()),
-        T.StructField("classes", T.BinaryType()),
-        T.StructField("keys", T.ArrayType(T.LongType(), False)),
-    ]
-)
-_FINGERPRINT_ARROW = pa.schema(
-    [("id", pa.string()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("n", pa.int32()), ("classes", pa.binary()), ("keys", pa.list_(pa.int64()))]
-)
+def prefix_length(n: np.ndarray, tenths: int) -> np.ndarray:
+    """n - ceil(tenths * n / 10) + 1, at most n."""
+    return np.minimum(n, n + (-tenths * n) // 10 + 1)
+
+
+_PRINT = "id string, set_a long, set_b long, n int, classes binary, rarity binary"
+_PRINT_ARROW = pa.schema([("id", pa.string()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("n", pa.int32()), ("classes", pa.binary()), ("rarity", pa.binary())])
+_SETS_ARROW = pa.schema([("rep", pa.string()), ("set_a", pa.int64()), ("set_b", pa.int64())])
 _SLICE = 8_192  # rows per numpy pass, so that a worker's memory doesn't follow the batch size
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         i = 0
         while i < batch.num_rows:
@@ -153,29 +130,81 @@ def _slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8_000_000) -> I
             i += part.num_rows
 
 
+def _id_text(records: DataFrame) -> DataFrame:
+    return records.where(F.col("id").isNotNull()).select(F.col("id").cast("string"), F.col("text").cast("string"))
+
+
+def _named(part: pa.RecordBatch, s: TripleSets) -> list[pa.Array]:
+    a, b = s.set_hashes()
+    return [part.column("id").cast(pa.string()).take(pa.array(s.rows)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+
+
 def fingerprints(records: DataFrame, width: int, least_words: int) -> DataFrame:
-    """id, set_a, set_b, n, classes, keys of every record with at least `least_words` words."""
+    """id, set_a, set_b, n, classes of every record with at least `least_words` words.
+
+    Rows without id hold what a task counted: rarity, part set_a of the table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(RARITY, np.uint32)
         for part in _slices(batches):
             s = TripleSets(part.column("text"), width, least_words)
             if not len(s.rows):
                 continue
-            a, b = s.set_hashes()
-            keys = s.block_keys().view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("id").cast(pa.string()).take(pa.array(s.rows)),
-                    pa.array(a.view(np.int64)),
-                    pa.array(b.view(np.int64)),
-                    pa.array(s.size.astype(np.int32)),
-                    pa.array([x.tobytes() for x in s.class_counts()], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BLOCKS, dtype=np.int32)), pa.array(keys.ravel())),
-                ],
-                schema=_FINGERPRINT_ARROW,
-            )
-
-    return records.where(F.col("id").isNotNull()).select(F.col("id").cast("string"), F.col("text").cast("string")).mapInArrow(run, _FINGERPRINT)
+            np.add.at(seen, (s.triple % _U(RARITY)).astype(np.int64), 1)
+            counts = pa.array([x.tobytes() for x in s.class_counts()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*_named(part, s), pa.array(s.size.astype(np.int32)), counts, pa.nulls(len(s.rows), pa.binary())], schema=_PRINT_ARROW)
+        if seen.any():
+            none = lambda kind: pa.nulls(RARITY_ROWS, kind)
+            blobs = pa.array([x.tobytes() for x in seen.reshape(RARITY_ROWS, -1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([none(pa.string()), pa.array(np.arange(RARITY_ROWS)), none(pa.int64()), none(pa.int32()), none(pa.binary()), blobs], schema=_PRINT_ARROW)
+
+    return _id_text(records).mapInArrow(run, _PRINT)
+
+
+def rarity_table(prints: DataFrame) -> np.ndarray:
+    """The sum of the tasks' tables: RARITY numbers, whatever the number of records."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column("set_a").to_pylist(), batch.column("rarity")):
+                row = np.frombuffer(blob.as_buffer(), np.uint32)
+                sums[k] = sums.get(k, np.zeros(len(row), np.uint64)) + row
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["set_a", "rarity"])
+
+    parts = prints.where("rarity is not null").select("set_a", "rarity").repartition("set_a").mapInArrow(add, "set_a long, rarity binary").collect()
+    table = np.zeros((RARITY_ROWS, RARITY // RARITY_ROWS), np.uint64)
+    for r in parts:
+        table[r["set_a"]] += np.frombuffer(r["rarity"], np.uint64)
+    return np.minimum(table.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def triple_sets(records: DataFrame, width: int, least_words: int) -> DataFrame:
+    """rep, set_a, set_b and the packed triples of every record with at least `least_words` words."""
+    schema = _SETS_ARROW.append(pa.field("triples", pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            s = TripleSets(part.column("text"), width, least_words)
+            if len(s.rows):
+                yield pa.RecordBatch.from_arrays([*_named(part, s), pa.array(s.packed(), pa.binary())], schema=schema)
+
+    return _id_text(records).mapInArrow(run, "rep string, set_a long, set_b long, triples binary")
+
+
+def prefix_sets(records: DataFrame, width: int, least_words: int, rarity: np.ndarray, tenths: int) -> DataFrame:
+    """rep, set_a, set_b and the prefix of every record with at least `least_words` words."""
+    schema = _SETS_ARROW.append(pa.field("prefix", pa.list_(pa.int64())))
+    shared = records.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            s = TripleSets(part.column("text"), width, least_words)
+            if len(s.rows):
+                yield pa.RecordBatch.from_arrays([*_named(part, s), s.prefixes(shared.value, tenths)], schema=schema)
+
+    return _id_text(records).mapInArrow(run, "rep string, set_a long, set_b long, prefix array<long>")
 
 
 def _distance_filter(threshold: float):
@@ -191,25 +220,32 @@ def _distance_filter(threshold: float):
     return near
 
 
-def _share_check(width: int, least_words: int, tenths: int):
-    """Verify pairs of texts on their whole triple sets: shared triples, union, and whether the share is reached."""
+def _unpacked(sets: pa.Array) -> np.ndarray:
+    """Position in the batch (upper 16 bits) and triple (lower 48) of every triple of the packed sets."""
+    raw = sets.to_pylist()
+    six = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+    eight = np.zeros((len(six), 8), np.uint8)
+    eight[:, :6] = six
+    row = np.repeat(np.arange(len(raw), dtype=np.uint64), [len(x) // 6 for x in raw])
+    return (row << _U(48)) | eight.view("<u8").ravel().astype(np.uint64)
+
+
+def _share_check(tenths: int):
+    """Verify pairs of whole triple sets: shared triples, union, and whether the share is reached."""
     kind = pa.struct([("shared", pa.int32()), ("either", pa.int32()), ("alike", pa.bool_())])
 
     @F.arrow_udf("shared int, either int, alike boolean")
     def check(a: pa.Array, b: pa.Array) -> pa.Array:
-        shared_all, either_all = [], []
+        shared_all, either_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(a), 2_048):
-            x, y = TripleSets(a.slice(i, 2_048), width, least_words), TripleSets(b.slice(i, 2_048), width, least_words)
-            m = len(a.slice(i, 2_048))
-            kx = (x.row.astype(np.uint64) << _U(48)) | x.triple
-            ky = (y.row.astype(np.uint64) << _U(48)) | y.triple
-            both = np.intersect1d(kx, ky, assume_unique=True)
-            shared = np.bincount((both >> _U(48)).astype(np.int64), minlength=m)
-            either = np.bincount(x.row, minlength=m) + np.bincount(y.row, minlength=m) - shared
+            x, y = a.slice(i, 2_048), b.slice(i, 2_048)
+            both = np.sort(np.concatenate([_unpacked(x), _unpacked(y)]), kind="stable")
+            twice = both[1:][both[1:] == both[:-1]]
+            shared = np.bincount((twice >> _U(48)).astype(np.int64), minlength=len(x))
+            either = np.bincount((both >> _U(48)).astype(np.int64), minlength=len(x)) - shared
             shared_all.append(shared)
             either_all.append(either)
-        shared = np.concatenate(shared_all) if shared_all else np.zeros(0, np.int64)
-        either = np.concatenate(either_all) if either_all else np.zeros(0, np.int64)
+        shared, either = np.concatenate(shared_all), np.concatenate(either_all)
         alike = (either > 0) & (10 * shared >= tenths * either)
         return pa.StructArray.from_arrays([pa.array(shared.astype(np.int32)), pa.array(either.astype(np.int32)), pa.array(alike)], fields=list(kind))
 
@@ -226,19 +262,21 @@ class NearDuplicates:
     `members`: id and class, a class being all records with the same triple set.
     `links`: pairs of different classes (class_a < class_b) whose share is `tenths` tenths or more.
 
-    Every step is a hash shuffle on class, block key or pair. Copies are made one class before anything
-    is joined, however many there are; the join on block keys streams its two sides and leaves skewed
-    keys to adaptive execution. No bucket is capped and no candidate dropped but by steps 2 to 4 above:
-    at a share of exactly 0.7 one pair in 360 misses all 32 blocks, at 0.75 one in 7,000.
+    Every step is a hash shuffle on class, triple or pair. Copies are made one class before anything
+    is joined, however many there are; the join on prefix triples streams its two sides and leaves skewed
+    keys to adaptive execution. Nothing is capped and no candidate dropped but by bounds that hold for
+    every pair that is alike.
     """
 
     def __init__(self, records: DataFrame, width: int = 3, least_words: int = 40, tenths: int = 7):
         self.records, self.width, self.least_words, self.tenths = records, width, least_words, tenths
-        prints = staged(fingerprints(records, width, least_words), "neardup-prints")
+        everything = staged(fingerprints(records, width, least_words), "neardup-prints")
+        self._rarity = rarity_table(everything)
+        prints = everything.where("id is not null").drop("rarity")
         classes = prints.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
         # one row per class: the print of the representative (any of its repeated rows is the same)
         reps = classes.select(F.col("rep"), "set_a", "set_b").join(
-            prints.select(F.col("id").alias("rep"), "set_a", "set_b", "n", "classes", "keys"), ["rep", "set_a", "set_b"]
+            prints.select(F.col("id").alias("rep"), "set_a", "set_b", "n", "classes"), ["rep", "set_a", "set_b"]
         )
         numbered = reps.dropDuplicates(["set_a", "set_b"]).withColumn("class", F.monotonically_increasing_id())
         self.classes = staged(numbered, "neardup-classes")
@@ -252,10 +290,18 @@ class NearDuplicates:
 
     @property
     def candidates(self) -> DataFrame:
-        """Pairs of classes with the same distance vector in a block, within the set pivot table's bound."""
-        keyed = self.classes.select("class", F.explode("keys").alias("key"))
-        a, b = keyed.select("key", F.col("class").alias("class_a")), keyed.select("key", F.col("class").alias("class_b"))
-        pairs = a.join(b, "key").where("class_a < class_b").select("class_a", "class_b").distinct()
+        """Pairs of classes with a common triple in their prefixes, within the bounds of size, place and the set pivot table."""
+        t = self.tenths
+        own = prefix_sets(self.records, self.width, self.least_words, self._rarity, t).join(self.classes.select("rep", "set_a", "set_b", "class", "n"), ["rep", "set_a", "set_b"])
+        keyed = own.dropDuplicates(["class"]).select("class", "n", F.posexplode("prefix").alias("pos", "key"))
+        side = lambda s: keyed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "pos")])
+        # x is the larger set; of the smaller a shorter prefix is enough
+        shorter = side("y").where(f"pos_y <= n_y - ceil({2 * t} * n_y / {10 + t})")
+        larger = F.expr("n_x > n_y or (n_x = n_y and class_x > class_y)")
+        met = side("x").join(shorter, "key").where(larger & F.expr(f"10 * n_y >= {t} * n_x"))
+        # the first triple in common leaves room for all that must be shared
+        met = met.where(f"{10 + t} * least(n_x - pos_x, n_y - pos_y) >= {t} * (n_x + n_y)")
+        pairs = met.select(F.least("class_x", "class_y").alias("class_a"), F.greatest("class_x", "class_y").alias("class_b")).distinct()
         facts = self.classes.select("class", "n", "classes")
         side = lambda s: facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns])
         both = pairs.join(side("a"), "class_a").join(side("b"), "class_b")
@@ -267,13 +313,14 @@ class NearDuplicates:
         if self._links is None:
             cand = staged(self.candidates, "neardup-candidates")
             used = cand.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-            reps = used.join(self.classes.select("class", "rep"), "class")
-            texts = self.records.select(F.col("id").cast("string").alias("rep"), F.col("text").cast("string").alias("text"))
-            texts = texts.join(reps, "rep").dropDuplicates(["class"]).select("class", "text")
-            side = lambda s: texts.select(F.col("class").alias(f"class_{s}"), F.col("text").alias(f"text_{s}"))
+            reps = used.join(self.classes.select("class", "rep", "set_a", "set_b"), "class")
+            # each class by its own set: an id may have been delivered with two texts
+            sets = triple_sets(self.records, self.width, self.least_words).join(reps, ["rep", "set_a", "set_b"])
+            sets = sets.dropDuplicates(["class"]).select("class", "triples")
+            side = lambda s: sets.select(F.col("class").alias(f"class_{s}"), F.col("triples").alias(f"triples_{s}"))
             both = cand.join(side("a"), "class_a").join(side("b"), "class_b")
-            check = _share_check(self.width, self.least_words, self.tenths)
-            done = both.select("class_a", "class_b", check("text_a", "text_b").alias("s")).where("s.alike")
+            check = _share_check(self.tenths)
+            done = both.select("class_a", "class_b", check("triples_a", "triples_b").alias("s")).where("s.alike")
             self._links = staged(done.select("class_a", "class_b", "s.shared", "s.either"), "neardup-links")
         return self._links
 
