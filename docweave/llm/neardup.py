@@ -1,25 +1,27 @@
-"""Near-duplicate records with small edits (problem 2): prefix filter and set pivot table, without loss.
+"""Near-duplicate records with small edits (problem 2): bands of min-hashes, set pivot table, exact check.
 
 A record is the set of its word triples; the Hamming distance of two sets, as bit vectors over all
 triples, is the size of their symmetric difference, so a Jaccard share of t or more is the same as a
 distance of at most (1 - t) / (1 + t) times the sum of the two sizes.
 
-1. Order: one order of all triples, the rare ones first, by a table of RARITY counts. Any order loses nothing.
-2. Prefixes: two sets that share s triples have one in common among the first n - s + 1 of each. Of the larger
-   set s is at least t * n, of the smaller 2 * t / (1 + t) * n. The pairs that an equi-join on the triples of
-   the prefixes finds, within the bounds on size and place, hold every pair that is alike.
-3. Set pivot table: the numbers of triples in CLASSES classes of the triple universe. Every union of classes is a
-   reference set; by the triangle inequality no coordinate difference to any of these 2**CLASSES
+1. Candidates: two sets meet when ROWS min-hashes agree in one of BANDS bands. At a share of exactly 7 tenths a
+   pair misses all of them with probability (1 - 0.7**4)**54 = 4e-7, at 0.75 1e-9.
+2. Pivot distance table: the numbers of triples in CLASSES classes of the triple universe. Every union of classes is
+   a reference fingerprint; by the triangle inequality no coordinate difference to any of these 2**CLASSES
    references can exceed the distance of the pair, and the largest of them is the sum of the absolute
    differences of the class numbers. Pairs whose largest coordinate difference is above the allowed
    distance are discarded; this loses nothing.
-4. Survivors are verified on their whole triple sets.
+3. Survivors are verified on their whole triple sets.
 
-Exact copies (equal triple sets) are one class: steps 2 to 4 run on one representative of each.
+Pivot tables alone can't draw the candidates: distances of unlike records to any reference lie closer together
+than the distance allowed to a like pair, so that their coordinates agree, and all pairs would have to be looked at.
+
+Exact copies (equal triple sets) are one class: steps 1 to 3 run on one print of each.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,14 @@ from pyspark.sql import types as T
 
 from docweave.session import staged
 
-CLASSES = 32
-RARITY = 1 << 20
-#: The rarity table leaves a worker in so many rows.
-RARITY_ROWS = 16
+CLASSES = 64
+ROWS = 4
+BANDS = 54
+#: Members of a class that one task pairs with all others; larger classes are spread over several keys.
+SPREAD = 200
 
 _U = np.uint64
+_SEEDS = np.random.default_rng(20_240_601).integers(1, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,9 +55,8 @@ class TripleSets:
     """The distinct word triples of a batch of texts: `row` (index into the batch) and 48-bit `triple`, sorted."""
 
     def __init__(self, texts: pa.Array, width: int = 3, least_words: int = 40):
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        norm = pc.utf8_lower(pc.utf8_normalize(pc.fill_null(texts.cast(pa.large_string()), ""), "NFC"))
+        # not pyarrow's utf8_normalize: it gives decomposed text for NFC
+        norm = pa.array(["" if x is None else unicodedata.normalize("NFC", x).lower() for x in texts.to_pylist()], pa.large_string())
         spaced = pc.utf8_trim_whitespace(pc.replace_substring_regex(norm, r"[^\pL\pN]+", " "))
         lists = pc.split_pattern(spaced, " ")
         starts = lists.offsets.to_numpy().astype(np.int64)
@@ -90,15 +93,19 @@ class TripleSets:
         raw = self.triple.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         return [raw[i : i + n].tobytes() for i, n in zip(self.first, self.size)]
 
-    def prefixes(self, rarity: np.ndarray, tenths: int) -> pa.Array:
-        """The first triples of each set, the rarest first, as many as the larger set of a pair needs."""
-        if not len(self.rows):
-            return pa.array([], pa.list_(pa.int64()))
-        owner = np.repeat(np.arange(len(self.rows)), self.size)
-        order = np.lexsort((self.triple, rarity[(self.triple % _U(RARITY)).astype(np.int64)], owner))
-        length = prefix_length(self.size, tenths)
-        keep = np.arange(len(order)) - np.repeat(self.first, self.size) < np.repeat(length, self.size)
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(self.triple[order][keep].view(np.int64)))
+    def band_keys(self) -> np.ndarray:
+        """(sets, BANDS) 48-bit keys, made of ROWS min-hashes and the number of the band."""
+        base = (self.triple ^ (self.triple >> _U(24))).astype(np.uint32)
+        out = np.empty((len(self.rows), BANDS), np.int64)
+        for b in range(BANDS):
+            key = np.full(len(self.rows), b + 1, np.uint64)
+            for a, c in _SEEDS[b * ROWS : (b + 1) * ROWS]:
+                h = base * a
+                h ^= h >> np.uint32(15)
+                h *= c
+                key = _mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, self.first).astype(np.uint64))
+            out[:, b] = (key >> _U(16)).view(np.int64)
+        return out
 
     def class_counts(self) -> np.ndarray:
         """(sets, CLASSES) bytes: triples per class; a number above 255 counts as 255, which keeps the bound sound."""
@@ -108,14 +115,8 @@ class TripleSets:
         return np.minimum(np.bincount(at, minlength=len(self.rows) * CLASSES), 255).astype(np.uint8).reshape(-1, CLASSES)
 
 
-def prefix_length(n: np.ndarray, tenths: int) -> np.ndarray:
-    """n - ceil(tenths * n / 10) + 1, at most n."""
-    return np.minimum(n, n + (-tenths * n) // 10 + 1)
-
-
-_PRINT = "id string, set_a long, set_b long, n int, classes binary, rarity binary"
-_PRINT_ARROW = pa.schema([("id", pa.string()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("n", pa.int32()), ("classes", pa.binary()), ("rarity", pa.binary())])
-_SETS_ARROW = pa.schema([("rep", pa.string()), ("set_a", pa.int64()), ("set_b", pa.int64())])
+_PRINT = "id string, class long, other long, n int, counts binary"
+_PRINT_ARROW = pa.schema([("id", pa.string()), ("class", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("counts", pa.binary())])
 _SLICE = 8_192  # rows per numpy pass, so that a worker's memory doesn't follow the batch size
 
 
@@ -134,77 +135,61 @@ def _id_text(records: DataFrame) -> DataFrame:
     return records.where(F.col("id").isNotNull()).select(F.col("id").cast("string"), F.col("text").cast("string"))
 
 
-def _named(part: pa.RecordBatch, s: TripleSets) -> list[pa.Array]:
-    a, b = s.set_hashes()
-    return [part.column("id").cast(pa.string()).take(pa.array(s.rows)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
-
-
 def fingerprints(records: DataFrame, width: int, least_words: int) -> DataFrame:
-    """id, set_a, set_b, n, classes of every record with at least `least_words` words.
-
-    Rows without id hold what a task counted: rarity, part set_a of the table.
-    """
+    """id, class, other (two 64-bit hashes of the triple set), n, counts of every record with at least `least_words` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(RARITY, np.uint32)
         for part in _slices(batches):
             s = TripleSets(part.column("text"), width, least_words)
-            if not len(s.rows):
-                continue
-            np.add.at(seen, (s.triple % _U(RARITY)).astype(np.int64), 1)
-            counts = pa.array([x.tobytes() for x in s.class_counts()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*_named(part, s), pa.array(s.size.astype(np.int32)), counts, pa.nulls(len(s.rows), pa.binary())], schema=_PRINT_ARROW)
-        if seen.any():
-            none = lambda kind: pa.nulls(RARITY_ROWS, kind)
-            blobs = pa.array([x.tobytes() for x in seen.reshape(RARITY_ROWS, -1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([none(pa.string()), pa.array(np.arange(RARITY_ROWS)), none(pa.int64()), none(pa.int32()), none(pa.binary()), blobs], schema=_PRINT_ARROW)
+            if len(s.rows):
+                a, b = s.set_hashes()
+                ids = part.column("id").cast(pa.string()).take(pa.array(s.rows))
+                counts = pa.array([x.tobytes() for x in s.class_counts()], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(s.size.astype(np.int32)), counts], schema=_PRINT_ARROW)
 
     return _id_text(records).mapInArrow(run, _PRINT)
 
 
-def rarity_table(prints: DataFrame) -> np.ndarray:
-    """The sum of the tasks' tables: RARITY numbers, whatever the number of records."""
+def _of_new_classes(records: DataFrame, width: int, least_words: int, schema: str, make) -> DataFrame:
+    """Rows that `make` gives for the sets of a batch, once for each class a task meets: copies cost a task nothing."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column("set_a").to_pylist(), batch.column("rarity")):
-                row = np.frombuffer(blob.as_buffer(), np.uint32)
-                sums[k] = sums.get(k, np.zeros(len(row), np.uint64)) + row
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["set_a", "rarity"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part in _slices(batches):
+            s = TripleSets(part.column("text"), width, least_words)
+            if not len(s.rows):
+                continue
+            classes = s.set_hashes()[0].view(np.int64)
+            fresh = np.zeros(len(classes), bool)
+            for i, c in enumerate(classes.tolist()):
+                if c not in seen:
+                    seen.add(c)
+                    fresh[i] = True
+            if fresh.any():
+                yield make(s, classes, fresh)
 
-    parts = prints.where("rarity is not null").select("set_a", "rarity").repartition("set_a").mapInArrow(add, "set_a long, rarity binary").collect()
-    table = np.zeros((RARITY_ROWS, RARITY // RARITY_ROWS), np.uint64)
-    for r in parts:
-        table[r["set_a"]] += np.frombuffer(r["rarity"], np.uint64)
-    return np.minimum(table.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
+    return _id_text(records).mapInArrow(run, schema)
 
 
-def triple_sets(records: DataFrame, width: int, least_words: int) -> DataFrame:
-    """rep, set_a, set_b and the packed triples of every record with at least `least_words` words."""
-    schema = _SETS_ARROW.append(pa.field("triples", pa.binary()))
+def band_rows(records: DataFrame, width: int, least_words: int) -> DataFrame:
+    """key, class and n: BANDS rows for each set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            s = TripleSets(part.column("text"), width, least_words)
-            if len(s.rows):
-                yield pa.RecordBatch.from_arrays([*_named(part, s), pa.array(s.packed(), pa.binary())], schema=schema)
+    def make(s: TripleSets, classes: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+        keys = s.band_keys()[fresh]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys.ravel()), pa.array(np.repeat(classes[fresh], BANDS)), pa.array(np.repeat(s.size[fresh].astype(np.int32), BANDS))], ["key", "class", "n"]
+        )
 
-    return _id_text(records).mapInArrow(run, "rep string, set_a long, set_b long, triples binary")
+    return _of_new_classes(records, width, least_words, "key long, class long, n int", make)
 
 
-def prefix_sets(records: DataFrame, width: int, least_words: int, rarity: np.ndarray, tenths: int) -> DataFrame:
-    """rep, set_a, set_b and the prefix of every record with at least `least_words` words."""
-    schema = _SETS_ARROW.append(pa.field("prefix", pa.list_(pa.int64())))
-    shared = records.sparkSession.sparkContext.broadcast(rarity)
+def triple_sets(records: DataFrame, width: int, least_words: int) -> DataFrame:
+    """class and the packed triples of every set, once a task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            s = TripleSets(part.column("text"), width, least_words)
-            if len(s.rows):
-                yield pa.RecordBatch.from_arrays([*_named(part, s), s.prefixes(shared.value, tenths)], schema=schema)
+    def make(s: TripleSets, classes: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(classes), pa.array(s.packed(), pa.binary())], ["class", "triples"]).filter(pa.array(fresh))
 
-    return _id_text(records).mapInArrow(run, "rep string, set_a long, set_b long, prefix array<long>")
+    return _of_new_classes(records, width, least_words, "class long, triples binary", make)
 
 
 def _distance_filter(threshold: float):
@@ -262,61 +247,45 @@ class NearDuplicates:
     `members`: id and class, a class being all records with the same triple set.
     `links`: pairs of different classes (class_a < class_b) whose share is `tenths` tenths or more.
 
-    Every step is a hash shuffle on class, triple or pair. Copies are made one class before anything
-    is joined, however many there are; the join on prefix triples streams its two sides and leaves skewed
-    keys to adaptive execution. Nothing is capped and no candidate dropped but by bounds that hold for
+    Every step is a hash shuffle on class, band key or pair. Copies are made one class before anything
+    is joined, however many there are; the join on band keys streams its two sides and leaves skewed
+    keys to adaptive execution. Nothing is capped, and no candidate is dropped but by bounds that hold for
     every pair that is alike.
     """
 
     def __init__(self, records: DataFrame, width: int = 3, least_words: int = 40, tenths: int = 7):
         self.records, self.width, self.least_words, self.tenths = records, width, least_words, tenths
-        everything = staged(fingerprints(records, width, least_words), "neardup-prints")
-        self._rarity = rarity_table(everything)
-        prints = everything.where("id is not null").drop("rarity")
-        classes = prints.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-        # one row per class: the print of the representative (any of its repeated rows is the same)
-        reps = classes.select(F.col("rep"), "set_a", "set_b").join(
-            prints.select(F.col("id").alias("rep"), "set_a", "set_b", "n", "classes"), ["rep", "set_a", "set_b"]
-        )
-        numbered = reps.dropDuplicates(["set_a", "set_b"]).withColumn("class", F.monotonically_increasing_id())
-        self.classes = staged(numbered, "neardup-classes")
-        self._prints = prints
+        self._prints = staged(fingerprints(records, width, least_words), "neardup-prints")
+        one = self._prints.groupBy("class").agg(F.min("other").alias("low"), F.max("other").alias("high"), F.min(F.struct("n", "counts")).alias("p"))
+        self.classes = staged(one.select("class", "p.n", "p.counts", (F.col("low") != F.col("high")).alias("mixed")), "neardup-classes")
+        if self.classes.where("mixed").limit(1).count():
+            raise ValueError("two different sets have the same 64-bit hash; the records must be split into two runs")
         self._links: DataFrame | None = None
 
     @property
     def members(self) -> DataFrame:
-        slim = self.classes.select("set_a", "set_b", "class")
-        return self._prints.select("id", "set_a", "set_b").distinct().join(slim, ["set_a", "set_b"]).select("id", "class")
+        return self._prints.select("id", "class").distinct()
 
     @property
     def candidates(self) -> DataFrame:
-        """Pairs of classes with a common triple in their prefixes, within the bounds of size, place and the set pivot table."""
-        t = self.tenths
-        own = prefix_sets(self.records, self.width, self.least_words, self._rarity, t).join(self.classes.select("rep", "set_a", "set_b", "class", "n"), ["rep", "set_a", "set_b"])
-        keyed = own.dropDuplicates(["class"]).select("class", "n", F.posexplode("prefix").alias("pos", "key"))
-        side = lambda s: keyed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "pos")])
-        # x is the larger set; of the smaller a shorter prefix is enough
-        shorter = side("y").where(f"pos_y <= n_y - ceil({2 * t} * n_y / {10 + t})")
-        larger = F.expr("n_x > n_y or (n_x = n_y and class_x > class_y)")
-        met = side("x").join(shorter, "key").where(larger & F.expr(f"10 * n_y >= {t} * n_x"))
-        # the first triple in common leaves room for all that must be shared
-        met = met.where(f"{10 + t} * least(n_x - pos_x, n_y - pos_y) >= {t} * (n_x + n_y)")
-        pairs = met.select(F.least("class_x", "class_y").alias("class_a"), F.greatest("class_x", "class_y").alias("class_b")).distinct()
-        facts = self.classes.select("class", "n", "classes")
+        """Pairs of classes that meet in a band, within the bounds on sizes and the pivot table."""
+        rows = band_rows(self.records, self.width, self.least_words).repartition("key")
+        side = lambda s: rows.select("key", F.col("class").alias(f"class_{s}"), F.col("n").alias(f"n_{s}"))
+        sizes = F.expr(f"10 * least(n_a, n_b) >= {self.tenths} * greatest(n_a, n_b)")
+        met = side("a").join(side("b").hint("merge"), "key").where(F.col("class_a") < F.col("class_b")).where(sizes)
+        pairs = met.select("class_a", "class_b").distinct()
+        facts = self.classes.select("class", "n", "counts")
         side = lambda s: facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns])
         both = pairs.join(side("a"), "class_a").join(side("b"), "class_b")
         near = _distance_filter(self.tenths / 10)
-        return both.where(near("classes_a", "classes_b", "n_a", "n_b")).select("class_a", "class_b")
+        return both.where(near("counts_a", "counts_b", "n_a", "n_b")).select("class_a", "class_b")
 
     @property
     def links(self) -> DataFrame:
         if self._links is None:
             cand = staged(self.candidates, "neardup-candidates")
             used = cand.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-            reps = used.join(self.classes.select("class", "rep", "set_a", "set_b"), "class")
-            # each class by its own set: an id may have been delivered with two texts
-            sets = triple_sets(self.records, self.width, self.least_words).join(reps, ["rep", "set_a", "set_b"])
-            sets = sets.dropDuplicates(["class"]).select("class", "triples")
+            sets = triple_sets(self.records, self.width, self.least_words).join(used, "class", "left_semi").dropDuplicates(["class"])
             side = lambda s: sets.select(F.col("class").alias(f"class_{s}"), F.col("triples").alias(f"triples_{s}"))
             both = cand.join(side("a"), "class_a").join(side("b"), "class_b")
             check = _share_check(self.tenths)
@@ -325,12 +294,21 @@ class NearDuplicates:
         return self._links
 
     def pairs(self) -> DataFrame:
-        """id_a < id_b (by code point): every pair of records in one class or in two linked classes."""
+        """id_a < id_b (by code point): every pair of records in one class or in two linked classes.
+
+        The members of a large class are spread over several keys, and the other side is repeated for each.
+        """
         m = staged(self.members, "neardup-members")
-        a, b = m.select(F.col("id").alias("x"), F.col("class").alias("class_a")), m.select(F.col("id").alias("y"), F.col("class").alias("class_b"))
-        inside = a.join(b, F.col("class_a") == F.col("class_b")).where("x < y").select("x", "y")
-        across = self.links.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("x", "y")
-        return inside.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b")
+        wide = m.groupBy("class").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("keys"))
+        m = staged(m.join(wide, "class"), "neardup-members")
+        a = m.select(F.col("id").alias("x"), F.col("class").alias("class_a"), F.pmod(F.xxhash64("id"), F.col("keys")).cast("int").alias("salt"))
+        every = lambda df, k: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
+        inside = a.join(every(m.where(F.col("keys") >= 1), "keys").select(F.col("id").alias("y"), F.col("class").alias("class_a"), "salt"), ["class_a", "salt"]).where("x < y").select("x", "y")
+        links = self.links.select("class_a", "class_b").join(wide.select(F.col("class").alias("class_a"), "keys"), "class_a")
+        first = every(links, "keys").join(a, ["class_a", "salt"]).select("x", "class_b")
+        across = first.join(m.select(F.col("id").alias("y"), F.col("class").alias("class_b")), "class_b").select("x", "y")
+        both = inside.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        return both.where("id_a < id_b").distinct()
 
     def groups(self) -> DataFrame:
         """id, group (smallest id of the group) and links (to other classes) of every record in a group of two or more.
