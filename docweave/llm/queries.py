@@ -54,6 +54,14 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(_sizes(spark, root), table(spark, root, "mix_targets"))
 
 
+def p7_uses_exact(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.uses(_sizes(spark, root), table(spark, root, "mix_targets"), "exact")
+
+
+def p7_shares_exact(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(_sizes(spark, root), table(spark, root, "mix_targets"), "exact")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return endings.judged(table(spark, root, "documents")).where("lost").select("doc_id")
 
@@ -71,6 +79,8 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_uses": p7_uses,
     "p7_shares": p7_shares,
+    "p7_uses_exact": p7_uses_exact,
+    "p7_shares_exact": p7_shares_exact,
     "p8_found": p8_found,
     "p8_rates": p8_rates,
 }
