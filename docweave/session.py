@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOCAL: dict[str, str] = {}
 _STAGED: dict[str, list[str]] = {}
 
 
@@ -24,6 +23,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -36,43 +36,44 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder of its own.
+    Without that setting a session on one machine gets a temporary folder of its own, and any other is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="docweave-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="docweave-shared-")
+    return _LOCAL[app]
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     A written table survives the loss of executors, holds columns that later steps may prune, and is
-    compressed. It is removed by `release` or when the driver ends.
+    compressed. It is removed by `release`, or when the driver's JVM ends, also after the session was stopped.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    app = spark.sparkContext.applicationId
-    if app not in _STAGED:
-        _STAGED[app] = []
-        atexit.register(release, spark)
-    _STAGED[app].append(path)
+    fs, target = _file_system(spark, path)
+    fs.deleteOnExit(target)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Remove every table `staged` wrote for this session. Frames that still read them become unusable."""
-    try:
-        sc = spark.sparkContext
-        paths = _STAGED.pop(sc.applicationId, [])
-        jvm = sc._jvm
-        for path in paths:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the driver is going down: nothing is left to tidy
-        return
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        fs, target = _file_system(spark, path)
+        fs.delete(target, True)
 
 
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
@@ -89,8 +90,3 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
 def broadcast_if_bounded(df: DataFrame, most: int, what: str) -> DataFrame:
     """`df` with a broadcast hint when it has at most `most` rows, else `df` as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def temp_path(name: str) -> str:
-    """A local scratch path for single-machine tools (never used by distributed operators)."""
-    return os.path.join(tempfile.mkdtemp(prefix="docweave-"), name)
