@@ -5,7 +5,7 @@ triples, is the size of their symmetric difference, so a Jaccard share of t or m
 distance of at most (1 - t) / (1 + t) times the sum of the two sizes.
 
 1. Candidates: two sets meet when ROWS min-hashes agree in one of BANDS bands. At a share of exactly 7 tenths a
-   pair misses all of them with probability (1 - 0.7**4)**54 = 4e-7, at 0.75 1e-9.
+   pair misses all of them with probability (1 - 0.7**4)**50 = 1e-6, at 0.75 5e-9.
 2. Pivot distance table: the numbers of triples in CLASSES classes of the triple universe. Every union of classes is
    a reference fingerprint; by the triangle inequality no coordinate difference to any of these 2**CLASSES
    references can exceed the distance of the pair, and the largest of them is the sum of the absolute
@@ -36,7 +36,9 @@ from docweave.session import staged
 
 CLASSES = 64
 ROWS = 4
-BANDS = 54
+BANDS = 50
+#: Bits of the map of classes that have candidates. Its size is fixed; when it fills up it spares less, but loses nothing.
+MAP_BITS = 1 << 23
 #: Members of a class that one task pairs with all others; larger classes are spread over several keys.
 SPREAD = 200
 
@@ -88,11 +90,6 @@ class TripleSets:
         b = np.add.reduceat(_mix(self.triple ^ _U(0x5851F42D4C957F2D)), self.first)
         return a, b
 
-    def packed(self) -> list[bytes]:
-        """The sorted triples of each set, six bytes each."""
-        raw = self.triple.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        return [raw[i : i + n].tobytes() for i, n in zip(self.first, self.size)]
-
     def band_keys(self) -> np.ndarray:
         """(sets, BANDS) 48-bit keys, made of ROWS min-hashes and the number of the band."""
         base = (self.triple ^ (self.triple >> _U(24))).astype(np.uint32)
@@ -108,11 +105,12 @@ class TripleSets:
         return out
 
     def class_counts(self) -> np.ndarray:
-        """(sets, CLASSES) bytes: triples per class; a number above 255 counts as 255, which keeps the bound sound."""
+        """(sets, CLASSES / 2) bytes: triples per class in four bits; a number above 15 counts as 15, which keeps the bound sound."""
         if not len(self.rows):
-            return np.zeros((0, CLASSES), np.uint8)
+            return np.zeros((0, CLASSES // 2), np.uint8)
         at = np.repeat(np.arange(len(self.rows)), self.size) * CLASSES + (self.triple & _U(CLASSES - 1)).astype(np.int64)
-        return np.minimum(np.bincount(at, minlength=len(self.rows) * CLASSES), 255).astype(np.uint8).reshape(-1, CLASSES)
+        counts = np.minimum(np.bincount(at, minlength=len(self.rows) * CLASSES), 15).astype(np.uint8).reshape(-1, CLASSES)
+        return counts[:, ::2] << 4 | counts[:, 1::2]
 
 
 _PRINT = "id string, class long, other long, n int, counts binary"
@@ -183,11 +181,25 @@ def band_rows(records: DataFrame, width: int, least_words: int) -> DataFrame:
     return _of_new_classes(records, width, least_words, "key long, class long, n int", make)
 
 
-def triple_sets(records: DataFrame, width: int, least_words: int) -> DataFrame:
-    """class and the packed triples of every set, once a task."""
+def class_map(classes: DataFrame) -> np.ndarray:
+    """A map of MAP_BITS bits of the column `class`: combined on the map side, a fixed number of words on the driver."""
+    at = F.pmod(F.col("class"), F.lit(MAP_BITS))
+    words = classes.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(class, {MAP_BITS}) & 63 as int))").alias("bit"))
+    t = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[t.column("word").to_numpy()] = t.column("bits").to_numpy()
+    return out
+
+
+def triple_sets(records: DataFrame, width: int, least_words: int, wanted: np.ndarray) -> DataFrame:
+    """class and the packed triples, once a task, of every set whose class is in the map `wanted` (and of few others)."""
+    shared = records.sparkSession.sparkContext.broadcast(wanted)
 
     def make(s: TripleSets, classes: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(classes), pa.array(s.packed(), pa.binary())], ["class", "triples"]).filter(pa.array(fresh))
+        at = classes % MAP_BITS
+        fresh = fresh & ((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+        packed = [s.triple[i : i + n].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, n in zip(s.first[fresh], s.size[fresh])]
+        return pa.RecordBatch.from_arrays([pa.array(classes[fresh]), pa.array(packed, pa.binary())], ["class", "triples"])
 
     return _of_new_classes(records, width, least_words, "class long, triples binary", make)
 
@@ -197,8 +209,9 @@ def _distance_filter(threshold: float):
     def near(ca: pa.Array, cb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         if not len(ca):
             return pa.array([], pa.bool_())
-        table = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int32)
-        far = np.abs(table(ca) - table(cb)).sum(axis=1)
+        table = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CLASSES // 2).astype(np.int16)
+        x, y = table(ca), table(cb)
+        far = np.abs((x >> 4) - (y >> 4)).sum(axis=1) + np.abs((x & 15) - (y & 15)).sum(axis=1)
         total = na.to_numpy(zero_copy_only=False).astype(np.float64) + nb.to_numpy(zero_copy_only=False)
         return pa.array(far <= (1 - threshold) / (1 + threshold) * total + 1e-6)
 
@@ -273,7 +286,8 @@ class NearDuplicates:
         side = lambda s: rows.select("key", F.col("class").alias(f"class_{s}"), F.col("n").alias(f"n_{s}"))
         sizes = F.expr(f"10 * least(n_a, n_b) >= {self.tenths} * greatest(n_a, n_b)")
         met = side("a").join(side("b").hint("merge"), "key").where(F.col("class_a") < F.col("class_b")).where(sizes)
-        pairs = met.select("class_a", "class_b").distinct()
+        # already in the order of the next join: pairs move once
+        pairs = met.select("class_a", "class_b").repartition("class_a").distinct()
         facts = self.classes.select("class", "n", "counts")
         side = lambda s: facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns])
         both = pairs.join(side("a"), "class_a").join(side("b"), "class_b")
@@ -284,8 +298,8 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         if self._links is None:
             cand = staged(self.candidates, "neardup-candidates")
-            used = cand.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-            sets = triple_sets(self.records, self.width, self.least_words).join(used, "class", "left_semi").dropDuplicates(["class"])
+            used = class_map(cand.select(F.explode(F.array("class_a", "class_b")).alias("class")))
+            sets = triple_sets(self.records, self.width, self.least_words, used).repartition("class").dropDuplicates(["class"])
             side = lambda s: sets.select(F.col("class").alias(f"class_{s}"), F.col("triples").alias(f"triples_{s}"))
             both = cand.join(side("a"), "class_a").join(side("b"), "class_b")
             check = _share_check(self.tenths)
@@ -298,13 +312,15 @@ class NearDuplicates:
 
         The members of a large class are spread over several keys, and the other side is repeated for each.
         """
-        m = staged(self.members, "neardup-members")
-        wide = m.groupBy("class").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("keys"))
-        m = staged(m.join(wide, "class"), "neardup-members")
+        linked = self.links.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct().withColumn("linked", F.lit(True))
+        m = self.members
+        wide = m.groupBy("class").agg(F.count("*").alias("size"))
+        m = m.join(wide.join(linked, "class", "left").where("size > 1 OR linked"), "class")
+        m = staged(m.select("id", "class", F.ceil(F.col("size") / SPREAD).cast("int").alias("keys")), "neardup-members")
         a = m.select(F.col("id").alias("x"), F.col("class").alias("class_a"), F.pmod(F.xxhash64("id"), F.col("keys")).cast("int").alias("salt"))
         every = lambda df, k: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
-        inside = a.join(every(m.where(F.col("keys") >= 1), "keys").select(F.col("id").alias("y"), F.col("class").alias("class_a"), "salt"), ["class_a", "salt"]).where("x < y").select("x", "y")
-        links = self.links.select("class_a", "class_b").join(wide.select(F.col("class").alias("class_a"), "keys"), "class_a")
+        inside = a.join(every(m, "keys").select(F.col("id").alias("y"), F.col("class").alias("class_a"), "salt"), ["class_a", "salt"]).where("x < y").select("x", "y")
+        links = self.links.select("class_a", "class_b").join(m.select(F.col("class").alias("class_a"), "keys").distinct(), "class_a")
         first = every(links, "keys").join(a, ["class_a", "salt"]).select("x", "class_b")
         across = first.join(m.select(F.col("id").alias("y"), F.col("class").alias("class_b")), "class_b").select("x", "y")
         both = inside.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
