@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import reference_key
@@ -12,6 +12,8 @@ from docweave.session import staged
 
 #: A key counts as heavy from this share of all child keys on, so at most HEAVY_SHARE keys are heavy.
 HEAVY_SHARE = 1000
+#: Suspect keys are first told by one of so many hash buckets, a table of bounded size that is broadcast.
+BUCKETS = 1 << 17
 
 
 def _children(df: DataFrame, column: str, ref_field: str, parent_table: str, at: str) -> DataFrame:
@@ -46,8 +48,8 @@ def reference_children(relationships: DataFrame, metadata: DataFrame) -> DataFra
     )
 
 
-def suspect_keys(children: DataFrame, metadata: DataFrame, content_rows: DataFrame) -> DataFrame:
-    """Groups by parent table and key that lack the parent flag, or whose parent came late or was deleted.
+def key_groups(children: DataFrame, metadata: DataFrame, content_rows: DataFrame) -> DataFrame:
+    """Groups by parent table and key with children; `suspect` if they lack the parent flag or the parent came late or was deleted.
 
     Parents and children stand in one long table with a flag, and one partial aggregation (combined on the
     map side, so a hot key sends one row per task) gives each key's flag, earliest load, deletion, number
@@ -68,7 +70,12 @@ def suspect_keys(children: DataFrame, metadata: DataFrame, content_rows: DataFra
     )
     late = F.col("first_loaded") > F.col("first_at")
     gone = F.col("deleted") <= F.col("last_at")
-    return groups.where((F.col("n_children") > 0) & (~F.col("has_parent") | F.coalesce(late, F.lit(False)) | F.coalesce(gone, F.lit(False))))
+    suspect = ~F.col("has_parent") | F.coalesce(late, F.lit(False)) | F.coalesce(gone, F.lit(False))
+    return groups.where("n_children > 0").withColumn("suspect", suspect).drop("first_at", "last_at")
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64("parent_table", key), F.lit(BUCKETS)).cast("int")
 
 
 def orphan_references(relationships: DataFrame, metadata: DataFrame, content_rows: DataFrame) -> DataFrame:
@@ -80,15 +87,21 @@ def orphan_references(relationships: DataFrame, metadata: DataFrame, content_row
     give no rows (an empty parent table makes every reference missing); other columns are not read.
 
     Skew: the few keys with over a thousandth of all references (a thousand at most, whatever the data)
-    are broadcast, so that their references never meet in one task; all others join by key.
+    are broadcast, so that their references never meet in one task. Of all others only those in the hash bucket of
+    a suspect key move, and join by key.
     """
     children = reference_children(relationships, metadata)
-    suspects = staged(suspect_keys(children, metadata, content_rows), "orphan-keys")
-    total = children.count()
+    groups = staged(key_groups(children, metadata, content_rows), "orphan-keys")
+    total = groups.agg(F.sum("n_children")).first()[0] or 0
     heavy = F.col("n_children") > F.lit(max(1, total // HEAVY_SHARE))
     facts = ["parent_table", "key", "has_parent", "first_loaded", "deleted"]
-    hot = F.broadcast(suspects.where(heavy).select(*facts))
-    found = children.join(hot, ["parent_table", "key"]).unionByName(children.join(suspects.where(~heavy).select(*facts), ["parent_table", "key"]))
+    suspects = groups.where("suspect")
+    light = suspects.where(~heavy)
+    hot = children.join(F.broadcast(suspects.where(heavy).select(*facts)), ["parent_table", "key"])
+    near = light.select(_bucket(F.col("key")).alias("bucket")).distinct()  # BUCKETS rows at most
+    rest = children.join(F.broadcast(groups.where(heavy).select("parent_table", "key")), ["parent_table", "key"], "left_anti")
+    rest = rest.withColumn("bucket", _bucket(F.col("key"))).join(F.broadcast(near), "bucket", "left_semi").drop("bucket")
+    found = hot.unionByName(rest.join(light.select(*facts), ["parent_table", "key"]))
     reason = (
         F.when(~F.col("has_parent"), "missing")
         .when(F.col("first_loaded") > F.col("at"), "late")
@@ -98,5 +111,6 @@ def orphan_references(relationships: DataFrame, metadata: DataFrame, content_row
 
 
 def orphan_counts(found: DataFrame) -> DataFrame:
-    """References and distinct keys per reference field, period and reason."""
-    return found.groupBy("ref_field", "period", "reason").agg(F.count("*").alias("n_refs"), F.countDistinct("key").alias("n_keys"))
+    """References and distinct keys per reference field, period and reason, summed from the groups of one key."""
+    keys = found.groupBy("ref_field", "period", "reason", "key").agg(F.count("*").alias("n"))
+    return keys.groupBy("ref_field", "period", "reason").agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_keys"))

@@ -4,10 +4,10 @@
     item    <- list / quoted / listed_name / bare          ordered alternatives
     list    <- '[' JSON array ']'                  followed by a separator or the end
     quoted  <- mark (doubled mark / not mark)* mark followed by a separator or the end
-    listed_name <- the longest catalogue name      followed by a separator or the end
+    listed_name <- a catalogue name, longest first     followed by a separator or the end
     bare    <- everything up to the next separator
 
-An alternative that fails (an unclosed quote, text behind a closing mark, a list that is no JSON) gives
+Blanks that don't separate are made one before parsing. An alternative that fails (an unclosed quote, text behind a closing mark, a list that is no JSON) gives
 its input back and the next alternative is tried from the same place; what was malformed is then read as
 bare text and flagged in `error`.
 """
@@ -29,10 +29,19 @@ from docweave.session import bounded_rows
 #: Characters that always separate, and pairs of quote marks.
 SEPARATORS = ";,|/•\t\n\r"
 QUOTE_PAIRS = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"), ("«", "»"))
-#: Largest catalogue the operator takes to the executors; a larger one is refused, not cut.
-MAX_CATALOG_NAMES = 100_000
+#: Catalogue names that could be read otherwise (with a separator, quote or bracket in them) the operator takes to the
+#: executors; more are refused, not cut. All other names are read as bare values anyway and stay where they are.
+MAX_CATALOG_NAMES = 1_000_000
 
 _BLANKS = re.compile(r"\s+")
+_INNER_BLANKS = re.compile(r"[^\S\t\n\r]+")
+
+
+def _no_number(word: str) -> object:
+    raise ValueError(f"{word} is no JSON")
+
+
+_JSON = json.JSONDecoder(parse_constant=_no_number)
 
 
 def tidy(text: str) -> str:
@@ -40,13 +49,16 @@ def tidy(text: str) -> str:
     return _BLANKS.sub(" ", unicodedata.normalize("NFC", text)).strip()
 
 
+#: A name with one of these could be read as something else than a bare value.
+_SPECIAL = "[" + re.escape(SEPARATORS + "".join(a + b for a, b in QUOTE_PAIRS) + "[-") + "]"
+
+
 class FieldGrammar:
     """The grammar for one field, with that field's catalogue names as terminals."""
 
     def __init__(self, names: Iterable[str] = ()):
-        ordered = sorted({tidy(n) for n in names if n and tidy(n)}, key=lambda n: (-len(n), n))
-        body = "|".join(re.escape(n).replace("\\ ", "[^\\S\\t\\n\\r]+") for n in ordered)
-        self._name = re.compile(f"(?:{body})") if ordered else None
+        self._names = frozenset(tidy(n) for n in names if n and tidy(n))
+        self._longest = max(map(len, self._names), default=0)
 
     @staticmethod
     def _separator(s: str, i: int) -> bool:
@@ -64,7 +76,7 @@ class FieldGrammar:
         if s[i] != "[":
             return None
         try:
-            members, end = json.JSONDecoder().raw_decode(s, i)
+            members, end = _JSON.raw_decode(s, i)
         except (ValueError, RecursionError):
             return None
         close = self._closed(s, end)
@@ -93,13 +105,14 @@ class FieldGrammar:
         return None
 
     def _listed_name(self, s: str, i: int) -> tuple[list[tuple[str, bool]], int] | None:
-        if self._name is None:
+        """Every place that could close the name is tried, the farthest first."""
+        if not self._names:
             return None
-        m = self._name.match(s, i)
-        if not m:
-            return None
-        close = self._closed(s, m.end())
-        return None if close is None else ([(m[0], True)], close)
+        far = min(len(s), i + self._longest + 1)
+        for k in range(far, i, -1):
+            if (k == len(s) or self._separator(s, k)) and s[i:k].rstrip() in self._names:
+                return [(s[i:k], True)], k
+        return None
 
     def _bare(self, s: str, i: int) -> tuple[list[tuple[str, bool]], int]:
         k = i
@@ -111,7 +124,7 @@ class FieldGrammar:
         """Values in order, with what went wrong while reading each one (null if nothing did)."""
         if text is None:
             return
-        s, i = unicodedata.normalize("NFC", text), 0
+        s, i = _INNER_BLANKS.sub(" ", unicodedata.normalize("NFC", text)), 0
         while i < len(s):
             if s[i].isspace() or self._separator(s, i):
                 i += 1
@@ -146,19 +159,22 @@ def split_packed(df: DataFrame, key: str, fields: list[str], catalog: DataFrame)
     Null and empty fields, blank pieces and unquoted null words give no row and take no position;
     repeated values and repeated rows are kept; texts of any length are read in one pass (a malformed
     quote at most once more); an empty table gives no rows; other columns, whatever their names, are not
-    read. `catalog` has field_name and name; it is refused beyond MAX_CATALOG_NAMES rows.
+    read. `catalog` has field_name and name; null names count for nothing.
     """
-    rows = bounded_rows(catalog.select("field_name", "name").distinct(), MAX_CATALOG_NAMES, "the catalogue")
+    special = catalog.where(F.col("field_name").isin(*fields) & (F.col("name").rlike(_SPECIAL) | F.lower(F.trim("name")).isin(*NULL_WORDS)))
+    rows = bounded_rows(special.select("field_name", "name").distinct(), MAX_CATALOG_NAMES, "the catalogue")
     names: dict[str, list[str]] = {f: [] for f in fields}
     for r in rows:
         if r["field_name"] in names and r["name"]:
             names[r["field_name"]].append(r["name"])
+    grammars: list[tuple[str, FieldGrammar]] = [(f, FieldGrammar(names[f])) for f in fields]
+    shared = df.sparkSession.sparkContext.broadcast(grammars)
     out_type = "array<struct<field_name:string,pos:int,item:string,error:string>>"
     struct = pa.struct([("field_name", pa.string()), ("pos", pa.int32()), ("item", pa.string()), ("error", pa.string())])
 
     @F.arrow_udf(out_type)
     def explode_fields(*columns: pa.Array) -> pa.Array:
-        grammars = [(f, FieldGrammar(names[f])) for f in fields]
+        grammars = shared.value
         memo: dict[tuple[str, str | None], list[dict]] = {}
         out = []
         for cells in zip(*(c.to_pylist() for c in columns)):

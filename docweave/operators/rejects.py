@@ -1,4 +1,7 @@
-"""Rows that fail to parse (problem 4): strict load, then anti-join, then diagnosis of the remainder."""
+"""Rows that fail to parse (problem 4): strict load, anti-join of offsets, and a diagnosis of the remainder.
+
+Only offsets and reasons are joined; the text of a record never moves.
+"""
 
 from __future__ import annotations
 
@@ -27,6 +30,7 @@ FILE_COLUMNS = {
         "tinh_trang_hieu_luc",
     ],
 }
+#: The date columns of metadata.csv.
 DATE_COLUMNS = ("ngay_ban_hanh", "ngay_co_hieu_luc", "ngay_het_hieu_luc")
 
 #: One field. Possessive throughout: a record is read once, without backtracking or deep recursion.
@@ -85,24 +89,31 @@ def with_offsets(raw: DataFrame) -> DataFrame:
     )
 
 
+def _conforms(file_name: str) -> Column:
+    """Whether a record of that file conforms in every respect; cheap tests first."""
+    names = FILE_COLUMNS[file_name]
+    at = lambda n: F.get(_fields(F.col("_line")), names.index(n))
+    ok = F.col("_line").rlike(rf"\A{FIELD}(?:,{FIELD}){{{len(names) - 1}}}+\z")
+    tests = [_id_ok(at("id"))] + [_html_ok(at(n)) for n in names if n == "content_html"] + [_date_ok(at(d)) for d in DATE_COLUMNS if d in names]
+    return F.when(ok, reduce(lambda a, b: a & b, tests)).otherwise(F.lit(False))
+
+
 def strict_load(records: DataFrame, file_name: str) -> DataFrame:
     """Only the records of one file that conform in every respect, with their named fields."""
     names = FILE_COLUMNS[file_name]
-    more = f"(?:,{FIELD}){{{len(names) - 1}}}+"
-    ok = records.where((F.col("file_name") == file_name) & F.col("_line").rlike(rf"\A{FIELD}{more}\z"))
-    ok = ok.withColumn("_f", _fields(F.col("_line")))
+    ok = records.where((F.col("file_name") == file_name) & _conforms(file_name)).withColumn("_f", _fields(F.col("_line")))
     at = lambda n: F.get(F.col("_f"), names.index(n))
-    ok = ok.where(_id_ok(at("id")))
-    if "content_html" in names:
-        ok = ok.where(_html_ok(at("content_html")))
-    for d in DATE_COLUMNS:
-        if d in names:
-            ok = ok.where(_date_ok(at(d)))
-    return ok.select("raw_id", "line_no", "_offset", *[(_edges(at(n)) if n == "id" else at(n)).alias(n) for n in names])
+    return ok.select("raw_id", "line_no", *[(_edges(at(n)) if n == "id" else at(n)).alias(n) for n in names])
+
+
+def loaded_offsets(records: DataFrame) -> DataFrame:
+    """The offsets of all records that a strict load takes, of every file in one scan."""
+    ok = reduce(lambda e, n: e.when(F.col("file_name") == n, _conforms(n)), FILE_COLUMNS, F.when(F.lit(False), F.lit(False)))
+    return records.where(F.coalesce(ok, F.lit(False))).select("_offset")
 
 
-def diagnose(rest: DataFrame) -> DataFrame:
-    """raw_id, file_name, line_no and the first reason that holds for each record of the remainder."""
+def diagnose(records: DataFrame) -> DataFrame:
+    """_offset and the first reason that holds for each record, null if none does."""
     f = F.col("_f")
     meta = FILE_COLUMNS["metadata.csv"]
     dates_bad = reduce(lambda a, b: a | b, [~_date_ok(F.get(f, meta.index(d))) for d in DATE_COLUMNS])
@@ -115,20 +126,26 @@ def diagnose(rest: DataFrame) -> DataFrame:
         .when((F.col("file_name") == "content.csv") & ~_html_ok(F.get(f, 1)), "bad_html")
     )
     fields = F.when(F.col("_line").rlike(RECORD), _fields(F.col("_line")))
-    return rest.withColumn("_f", fields).select("raw_id", "file_name", "line_no", reason.alias("reason"))
+    return records.withColumn("_f", fields).select("_offset", reason.alias("reason"))
 
 
-def split_load(raw: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The loaded rows of each file, and every other record with its reason.
+def rejected(raw: DataFrame) -> DataFrame:
+    """raw_id, file_name, line_no and reason of every record that is not loaded.
 
     The rejected records are the raw offsets less the loaded offsets, so that no record can be in both
-    parts or in neither. The join key is unique per record: no key is hot. A null raw_line counts as an
-    empty record (column_count); a null or unknown file_name is `unknown_file` unless its quoting is
-    broken; repeated rows stay repeated; an empty table gives empty parts; other columns are not read.
+    parts or in neither. Each side is one scan that gives offsets alone, the raw one with its diagnosis. The join
+    key is unique per record: no key is hot. A null raw_line counts as an empty record (column_count); a null or
+    unknown file_name is `unknown_file` unless its quoting is broken; repeated rows stay repeated; an empty
+    table gives no rows; other columns are not read.
     """
     records = with_offsets(raw)
-    loaded = {name: strict_load(records, name) for name in FILE_COLUMNS}
-    offsets = reduce(DataFrame.unionByName, [df.select("_offset") for df in loaded.values()])
-    kept = offsets.select(F.col("_offset").alias("_loaded"))
-    rest = records.join(kept, records["_offset"].eqNullSafe(kept["_loaded"]), "left_anti")
-    return {n: df.drop("_offset") for n, df in loaded.items()}, diagnose(rest)
+    kept = loaded_offsets(records).select(F.col("_offset").alias("_loaded"))
+    seen = diagnose(records)
+    rest = seen.join(kept, seen["_offset"].eqNullSafe(kept["_loaded"]), "left_anti")
+    return rest.select("_offset.raw_id", "_offset.file_name", "_offset.line_no", F.coalesce("reason", F.lit("unknown")).alias("reason"))
+
+
+def split_load(raw: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The loaded rows of each file, and every other record with its reason; see `rejected`."""
+    records = with_offsets(raw)
+    return {name: strict_load(records, name) for name in FILE_COLUMNS}, rejected(raw)

@@ -18,7 +18,7 @@ def p3_values(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return rejects.split_load(table(spark, root, "raw_rows"))[1].select("raw_id", "reason")
+    return rejects.rejected(table(spark, root, "raw_rows")).select("raw_id", "reason")
 
 
 def p4_loaded_content(spark: SparkSession, root: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p4_loaded_metadata(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_reasons(spark: SparkSession, root: str) -> DataFrame:
-    rest = rejects.split_load(table(spark, root, "raw_rows"))[1]
+    rest = rejects.rejected(table(spark, root, "raw_rows"))
     return rest.groupBy("file_name", "reason").agg(F.count("*").alias("n_records"))
 
 
@@ -111,7 +111,14 @@ f AS (SELECT r.ref_field, r.row_id, r.k, r.ts, CASE WHEN m.k IS NULL THEN 'missi
       FROM (SELECT row_id, {_key('doc_id')} AS k, loaded_at FROM metadata) d LEFT JOIN c ON d.k = c.k WHERE d.k IS NOT NULL)
 """
 
+_EDGES = "trim({0}, chr(9) || ' ')"
+_P4_META = ", ".join(f"{_nth(i)} AS {c}" for i, c in enumerate(rejects.FILE_COLUMNS["metadata.csv"]) if i)
+
 SQL = {
+    "p4_loaded_content": _P4
+    + f"SELECT g.raw_id, r.line_no, {_EDGES.format('f.id')} AS id, f.second AS content_html FROM g JOIN f USING (raw_id) JOIN raw_rows r USING (raw_id) WHERE g.reason IS NULL AND g.file_name = 'content.csv'",
+    "p4_loaded_metadata": _P4
+    + f"SELECT raw_id, line_no, {_EDGES.format(_nth(0))} AS id, {_P4_META} FROM (SELECT g.raw_id, r.line_no, f.line FROM g JOIN f USING (raw_id) JOIN raw_rows r USING (raw_id) WHERE g.reason IS NULL AND g.file_name = 'metadata.csv')",
     "p4_found": _P4 + "SELECT raw_id, reason FROM g WHERE reason IS NOT NULL",
     "p4_reasons": _P4 + "SELECT file_name, reason, count(*) AS n_records FROM g WHERE reason IS NOT NULL GROUP BY 1, 2",
     "p5_found": _P5 + "SELECT ref_field, row_id, strftime(ts, '%Y-%m') AS period, reason FROM f WHERE reason IS NOT NULL",
