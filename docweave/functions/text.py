@@ -7,7 +7,6 @@ import uuid
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,34 +48,40 @@ def reference_key(c: Column) -> Column:
     return F.when(is_null_word(c) | (k == ""), None).otherwise(k)
 
 
-@arrow_udf(T.StringType())
-def _nfc_all(s: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(s, "NFC")
+#: Latin text without marks of its own, and common punctuation: composed already, and unchanged by compatibility forms.
+_COMPOSED = r"\x{00}-\x{7F}\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1C3}\x{1CD}-\x{1F0}\x{1F4}-\x{24F}\x{1E00}-\x{1E99}\x{1EA0}-\x{1EFF}\x{2012}-\x{2016}\x{2018}-\x{2023}"
 
 
-@arrow_udf(T.StringType())
-def _nfkc_all(s: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(s, "NFKC")
+def _normal_form(form: str):
+    @arrow_udf(T.StringType())
+    def normalize(s: pa.Array) -> pa.Array:
+        # not pyarrow's utf8_normalize: it gives decomposed text for NFC and NFKC
+        return pa.array([None if x is None else unicodedata.normalize(form, x) for x in s.to_pylist()], pa.string())
 
+    return normalize
 
-@arrow_udf(T.StringType())
-def _nfkd_all(s: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(s, "NFKD")
+
+_FORMS = {form: _normal_form(form) for form in ("NFC", "NFKC", "NFKD")}
+
+
+def _composed(c: Column, form: str) -> Column:
+    """Only texts that may change go to Python; the others stay in the JVM."""
+    return F.coalesce(_FORMS[form](F.when(c.rlike(f"[^{_COMPOSED}]"), c)), c)
 
 
 def nfc(c: Column) -> Column:
-    """Canonical composition, in Arrow batches."""
-    return _nfc_all(c)
+    """Canonical composition."""
+    return _composed(c, "NFC")
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility composition, in Arrow batches."""
-    return _nfkc_all(c)
+    """Compatibility composition."""
+    return _composed(c, "NFKC")
 
 
 def nfkd(c: Column) -> Column:
-    """Compatibility decomposition, in Arrow batches."""
-    return _nfkd_all(c)
+    """Compatibility decomposition."""
+    return _FORMS["NFKD"](c)
 
 
 def collapse_blank_lines(c: Column) -> Column:
@@ -89,10 +94,14 @@ def boundary_spaces(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<=\p{Ll})(?=[\p{Lu}\p{Nd}])|(?<=\p{Nd})(?=\p{L})", " ")
 
 
+#: The letters an upper-case share is taken over, Latin with the Vietnamese ones.
+RATIO_LETTERS = "A-Za-zÀ-ỹĐđ"
+
+
 def uppercase_ratio(c: Column) -> Column:
-    """Capital letters in all letters, 0 without letters."""
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    return F.when(letters > 0, F.regexp_count(c, F.lit(r"\p{Lu}")) / letters).otherwise(F.lit(0.0))
+    """Capital letters in all letters of the class, 0 without letters."""
+    letters = F.regexp_count(c, F.lit(f"[{RATIO_LETTERS}]"))
+    return F.when(letters > 0, F.regexp_count(c, F.lit(rf"[{RATIO_LETTERS}&&\p{{Lu}}]")) / letters).otherwise(F.lit(0.0))
 
 
 def _latin_folds() -> tuple[str, str]:
@@ -111,8 +120,15 @@ _FOLD_FROM, _FOLD_TO = _latin_folds()
 
 
 def fold_accents(c: Column) -> Column:
-    """Latin letters without their marks, composed or decomposed; `đ` and `Đ` stay."""
-    return F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+    """Letters without their marks, compatibility forms as their plain ones; `đ` and `Đ` stay."""
+    folded = F.translate(c, _FOLD_FROM, _FOLD_TO)
+    other = r"[^\x{00}-\x{7F}\x{110}\x{111}\x{300}-\x{36F}\x{2012}-\x{2016}\x{2018}-\x{2023}]"
+    return F.regexp_replace(F.coalesce(_FORMS["NFKD"](F.when(folded.rlike(other), folded)), folded), r"\p{M}+", "")
+
+
+def match_form(c: Column) -> Column:
+    """Upper case without accents, `Đ` as `D`: the form in which phrases are looked for."""
+    return F.translate(F.upper(fold_accents(c)), "Đ", "D")
 
 
 def keyword_slug(c: Column) -> Column:
@@ -140,13 +156,17 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(*[F.when(s.rlike(p), F.try_to_timestamp(s, F.lit(f))) for p, f in forms])
 
 
+def year_of(c: Column) -> Column:
+    return F.year(c)
+
+
 def epoch_seconds(c: Column) -> Column:
     return F.unix_timestamp(c)
 
 
 def lexical_tokens(c: Column) -> Column:
-    """Lower-case words; `. / _ : -` may stand inside a word, so that document numbers stay whole."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+(?:[./_:\-][\p{L}\p{N}]+)*)"), F.lit(1))
+    """Lower-case words in compatibility form; `. / _ : -` may stand inside a word, so that document numbers stay whole."""
+    return F.regexp_extract_all(F.lower(nfkc(c)), F.lit(r"([\p{L}\p{N}]+(?:[./_:\-][\p{L}\p{N}]+)*)"), F.lit(1))
 
 
 def word_count(c: Column) -> Column:
