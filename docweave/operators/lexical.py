@@ -15,21 +15,20 @@ MAX_QUERY_TERMS = 200_000
 
 
 def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """`key`, term, tf. A text is counted where it lies: no shuffle. Null and empty texts give no rows.
+    """`key`, term, tf. A text is counted where it lies: no shuffle. Null and empty texts give no rows."""
+    return _counted(df.select(key, lexical_tokens(F.col(text)).alias("_w")), key).select(key, "term", "tf")
 
-    The words of a text are sorted, so that a word's count is the distance to the last of its kind.
-    """
-    words = df.select(key, F.explode(_counted(F.array_sort(lexical_tokens(F.col(text))))).alias("w"))
-    return words.select(key, "w.term", "w.tf")
 
+def _counted(worded: DataFrame, *keep: str) -> DataFrame:
+    """`keep`, term, tf of the lists `_w`: the words are sorted, and a word's count is the distance between the ends of runs.
 
-def _counted(words: Column) -> Column:
-    """Distinct words of a sorted list with their numbers: positions where a run of equal words ends."""
-    ends = F.filter(
-        F.transform(words, lambda w, i: F.struct(w.alias("term"), (i + 1).alias("at"), (F.get(words, i + 1).eqNullSafe(w)).alias("goes_on"))),
-        lambda x: ~x["goes_on"],
-    )
-    return F.transform(ends, lambda x, i: F.struct(x["term"].alias("term"), (x["at"] - F.coalesce(F.get(ends, i - 1)["at"], F.lit(0))).cast("long").alias("tf")))
+    Each step is a column of its own, so that no list is made again for each of its words.
+    """
+    run = worded.select(*keep, F.array_sort("_w").alias("_s"))
+    last = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: ~F.get("_s", i).eqNullSafe(F.get("_s", i + 1)))
+    run = run.where(F.size("_s") > 0).select(*keep, "_s", last.alias("_e"))
+    pairs = F.transform("_e", lambda e, i: F.struct(F.get("_s", e).alias("term"), (e - F.coalesce(F.get("_e", i - 1), F.lit(-1))).cast("long").alias("tf")))
+    return run.select(*keep, F.explode(pairs).alias("w")).select(*keep, "w.term", "w.tf")
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -49,11 +48,12 @@ def bm25_topk(docs: DataFrame, key: str, text: str, queries: DataFrame, query_ke
     Postings are kept only for the terms of the queries: the terms, a small table, are joined to the words of
     a text before anything moves, so the corpus itself is never shuffled. Corpus counts cover all documents.
     """
-    wanted = queries.select(F.col(query_key).alias("_q"), F.explode(F.array_distinct(lexical_tokens(F.col(query_text)))).alias("term"))
+    asked = queries.select(F.col(query_key).alias("_q"), lexical_tokens(F.col(query_text)).alias("_w"))
+    wanted = asked.select("_q", F.explode(F.array_distinct("_w")).alias("term"))
     terms = broadcast_if_bounded(wanted.select("term").distinct(), MAX_QUERY_TERMS, "query terms")
     sized = docs.select(F.col(key).alias("_d"), lexical_tokens(F.col(text)).alias("_w")).where(F.size("_w") > 0)
     facts = sized.agg(F.count("*").alias("n"), F.avg(F.size("_w")).alias("mean"))
-    tf = sized.select("_d", F.size("_w").alias("len"), F.explode(_counted(F.array_sort("_w"))).alias("w")).select("_d", "len", "w.term", "w.tf")
+    tf = _counted(sized.withColumn("len", F.size("_w")), "_d", "len")
     postings = tf.join(terms, "term", "left_semi")
     weights = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(facts))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
