@@ -40,17 +40,19 @@ ROOT_LEVEL, LEAF_LEVEL = 0, 7
 #: Verbs with which a block amends or repeals another text.
 EDIT_VERBS = ("sửa đổi", "bổ sung", "thay đổi", "thay thế", "bãi bỏ", "hủy bỏ", "huỷ bỏ", "chỉnh sửa", "đình chỉ")
 
-TABLE_LINE = r"\|(?:[^\n]*\|)?"
+TABLE_LINE = r"\|(?:[^\n\x01]*\|)?"
 TABLE_RULE = r"\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?"
+#: Between blocks while a text is divided, and the start and end of a line then.
 _BREAK = "\u0001"
+_START, _END = r"(?<![^\n\x01])", r"(?![^\n\x01])"
 
 
 def blocks_of(text: Column) -> Column:
     """Blocks in order: runs of table lines, and runs of other lines between blank ones; lines are trimmed."""
     lines = F.concat_ws("\n", F.transform(F.split(F.translate(text, _BREAK, " "), r"\R"), strip))
     marked = F.regexp_replace(lines, r"\n{2,}", _BREAK)
-    marked = F.regexp_replace(marked, rf"(?m)^({TABLE_LINE})\n(?!{TABLE_LINE}$)", f"$1{_BREAK}")
-    marked = F.regexp_replace(marked, rf"(?m)^(?!{TABLE_LINE}$)([^\n{_BREAK}]+)\n(?={TABLE_LINE}$)", f"$1{_BREAK}")
+    marked = F.regexp_replace(marked, rf"{_START}({TABLE_LINE})\n(?!{TABLE_LINE}{_END})", f"$1{_BREAK}")
+    marked = F.regexp_replace(marked, rf"{_START}(?!{TABLE_LINE}{_END})([^\n\x01]+)\n(?={TABLE_LINE}{_END})", f"$1{_BREAK}")
     return F.filter(F.transform(F.split(marked, _BREAK), strip), lambda b: b != "")
 
 
@@ -74,10 +76,10 @@ def with_levels(b: DataFrame, grammar: tuple[Level, ...] = GRAMMAR) -> DataFrame
     table = is_table(F.col("_t"))
     kind = F.when(table, F.struct(F.lit("table").alias("type"), F.lit(LEAF_LEVEL).alias("level"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("title")))
     for g in grammar:
-        pattern = F.lit("(?iuU)" + g.pattern)
+        pattern = "(?iuU)" + g.pattern
         number = F.nullif(F.regexp_extract("_line", pattern, 1), F.lit(""))
         title = F.nullif(strip(F.regexp_extract("_line", pattern, 2)), F.lit("")) if g.titled else F.lit(None).cast("string")
-        kind = kind.when(F.col("_line").rlike("(?iuU)" + g.pattern), F.struct(F.lit(g.type).alias("type"), F.lit(g.level).alias("level"), number.alias("number"), title.alias("title")))
+        kind = kind.when(F.col("_line").rlike(pattern), F.struct(F.lit(g.type).alias("type"), F.lit(g.level).alias("level"), number.alias("number"), title.alias("title")))
     rest = F.struct(F.lit("content").alias("type"), F.lit(LEAF_LEVEL).alias("level"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("title"))
     edit = F.col("_t").rlike(r"(?iuU)^(?:Điều\s+\d+\s*[.)-]\s*)?(?:" + "|".join(EDIT_VERBS) + ")")
     out = b.withColumn("_line", line).withColumn("_k", kind.otherwise(rest)).withColumn("is_edit", edit)
