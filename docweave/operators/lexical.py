@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import lexical_tokens
-from docweave.session import broadcast_if_bounded
+from docweave.session import broadcast_if_bounded, staged
 
 #: The saturation and length parameters of BM25.
 K1, B = 1.2, 0.75
@@ -46,18 +46,19 @@ def bm25_topk(docs: DataFrame, key: str, text: str, queries: DataFrame, query_ke
 
     Each query term counts once. Documents without a common term, null texts and null queries take no part.
     Postings are kept only for the terms of the queries: the terms, a small table, are joined to the words of
-    a text before anything moves, so the corpus itself is never shuffled. Corpus counts cover all documents.
+    a text before anything moves, so the corpus itself is never shuffled; they are written once and read for the
+    counts and for the scores. Corpus counts cover all documents.
     """
     asked = queries.select(F.col(query_key).alias("_q"), lexical_tokens(F.col(query_text)).alias("_w"))
     wanted = asked.select("_q", F.explode(F.array_distinct("_w")).alias("term"))
     terms = broadcast_if_bounded(wanted.select("term").distinct(), MAX_QUERY_TERMS, "query terms")
     sized = docs.select(F.col(key).alias("_d"), lexical_tokens(F.col(text)).alias("_w")).where(F.size("_w") > 0)
-    facts = sized.agg(F.count("*").alias("n"), F.avg(F.size("_w")).alias("mean"))
+    n, mean = sized.agg(F.count("*"), F.avg(F.size("_w"))).first()
     tf = _counted(sized.withColumn("len", F.size("_w")), "_d", "len")
-    postings = tf.join(terms, "term", "left_semi")
-    weights = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(facts))
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    asked = broadcast_if_bounded(wanted.join(weights.select("term", idf(F.col("n"), F.col("df")).alias("idf"), "mean"), "term"), MAX_QUERY_TERMS, "weighted query terms")
+    postings = staged(tf.join(terms, "term", "left_semi"), "postings")
+    weights = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", idf(F.lit(n), F.col("df")).alias("idf"))
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
+    asked = broadcast_if_bounded(wanted.join(weights, "term"), MAX_QUERY_TERMS, "weighted query terms")
     scores = postings.join(asked, "term").groupBy("_q", "_d").agg(F.sum(F.col("idf") * gain).alias("score"))
     return best(scores.select(F.col("_q").alias(query_key), F.col("_d").alias(key), F.round("score", 6).alias("score")), [query_key], k, F.desc("score"), key)
 
