@@ -49,12 +49,13 @@ COMMON = 6
 
 #: Marks with which systems show that text is missing.
 MARKS = ("…", "...", " …", " ...", "[...]", "�", "[…]")
+#: Markup inside which a transfer may break.
+MARKUP = ("&nbsp;", "&amp;", "&lt;", "</p>", "<br>", "<p>", "</td>")
 
 _HEAD = re.compile(r"\W*(?:điều|chương|mục|phần|phụ\s+lục|article|chapter|section|part|annex)\s+[\dIVXLC]+\b", re.I)
 _DIGITS = re.compile(r"\d+")
 _RUNS = re.compile(r"(.)\1+")
 _OPEN_MARKUP = re.compile(r"<[^<>\n]{0,30}\Z|&#?\w{0,8}\Z")
-_MARKUP = re.compile(r"<[^<>\n]{1,30}>|&#?\w{1,8};")
 _LINES = re.compile(r"[\r\n\x0b\x0c\x85  ]+")
 
 
@@ -106,6 +107,7 @@ def features(tail: str, at_limit: str = "") -> list[int]:
         "cells" + str(min(cells, 9)) + ("=" if before.count("|") == cells else "<") + end if cells else "cells",
         "before" + _shape(before[-2:]) + "/" + room + end,
         "bline" + (_DIGITS.sub("9", before) if 0 < len(before) <= 40 else "long") + "/" + room,
+        "markup" + str(bool(_OPEN_MARKUP.search(s[-40:]))),
         "open" + str(bool(_OPEN_MARKUP.search(s[-40:]))) + str(last.count("(") > last.count(")")),
         "gone" + ("n" if "\n" in gone else "s" if gone else "") + end,
         "dots" + ("many" if s.endswith(".....") else "few" if s.endswith("..") or s.endswith("…") else "no"),
@@ -116,7 +118,7 @@ def features(tail: str, at_limit: str = "") -> list[int]:
     return out
 
 
-FEATURES = 28
+FEATURES = 29
 
 
 def _padded(rows: list[list[int]]) -> np.ndarray:
@@ -172,11 +174,7 @@ def _examples(doc_id: object, text: str, chars: list[int] | None, sizes: list[in
         places += [(rng.randrange(low + 1, n), 1.0, "") for _ in range(ANYWHERE)]
     stops = [i + 1 for i in range(low, n - 1) if text[i] in ".,:;)|"]
     if stops:
-        places += [(rng.choice(stops), ANYWHERE * len(stops) / n, "") for _ in range(2)]
-    marked = [m.span() for m in _MARKUP.finditer(text, low, n - 1)]
-    if marked:
-        a, b = rng.choice(marked)
-        places.append((rng.randrange(a + 1, b), 1.0, ""))
+        places += [(rng.choice(stops), ANYWHERE * len(stops) / n, "") for _ in range(4)]
     for c in chars or ():
         if low < c < n:
             places.append((c, 1.0, "c"))
@@ -191,9 +189,14 @@ def _examples(doc_id: object, text: str, chars: list[int] | None, sizes: list[in
         cut = text[max(0, i - WINDOW) : i]
         if not cut.strip():
             continue
-        if rng.random() < 0.25:
+        kind = rng.random()
+        if kind < 0.25:
             cut += rng.choice(MARKS)
             weight = max(weight, 0.5)
+        elif kind < 0.3:  # a transfer that broke inside markup
+            markup = rng.choice(MARKUP)
+            cut += markup[: rng.randrange(1, len(markup))]
+            weight = max(weight, 0.5)
         f = features(cut)
         yield 1, fold, weight, where, features(cut, where) if where else f, f
 
