@@ -60,3 +60,17 @@ def test_best_over_small_blocks():
         held.add(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["_d", "len", "terms", "tfs"]))
     got = {(r["_s"], r["_d"]) for batch in held.batches() for r in batch.to_pylist()}
     assert got == {(i, d) for i, s in enumerate(sets) for d in sorted((d for x, d in scores if x == s), key=lambda d: (-round(scores[s, d], 6), d))[:k]}
+
+
+def test_filtered_search_moves_no_pairs(spark):
+    from docweave.plans import search_queries
+    from tests.conftest import ROOT
+
+    assert "keys=[_q" not in search_queries.bm25_filtered(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nothing_to_search(spark):
+    docs = spark.createDataFrame([(1, "a b")], "d long, t string")
+    asked = spark.createDataFrame([(1, "a")], "q long, t string")
+    for d, q in ((docs.limit(0), asked), (docs, asked.limit(0)), (docs, asked.where("t = 'b'"))):
+        assert lexical.bm25_topk(d, "d", "t", q, "q", "t").count() == 0
