@@ -74,3 +74,11 @@ def test_nothing_to_search(spark):
     asked = spark.createDataFrame([(1, "a")], "q long, t string")
     for d, q in ((docs.limit(0), asked), (docs, asked.limit(0)), (docs, asked.where("t = 'b'"))):
         assert lexical.bm25_topk(d, "d", "t", q, "q", "t").count() == 0
+
+
+def test_rerank_moves_no_texts(spark):
+    from docweave.plans import search_queries
+    from tests.conftest import ROOT
+
+    plan = search_queries.rerank_overlap(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan and "keys=[_q" not in plan
