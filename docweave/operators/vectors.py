@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ LEAST_CANDIDATES, DOCUMENT_TOP_K, MAX_PER_CLUSTER, LEAST_CHUNKS = 200, 20, 20, 8
 RRF_K = 60
 #: Queries are sent to all workers, at most so many at once.
 MAX_QUERIES = 50_000
+#: Scores held at once.
+BLOCK = 4_000_000
 
 
 def limits(top_k: int, candidates: int | None = None) -> dict[str, int]:
@@ -61,23 +65,36 @@ def similarity_topk(vectors: DataFrame, key: str, vector: str, queries: DataFram
         ids, q = shared.value
         if not ids:
             return
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
+        low = np.full((len(q), 1), -np.inf)  # only a score from here on can still be among the best
+
+        def cut() -> None:
+            rows = pd.concat(held).sort_values(["_q", "score", "_k"], ascending=[True, False, True])
+            rows = rows[(rows.groupby("_q").cumcount() < k).to_numpy()]
+            full = rows[(rows.groupby("_q").cumcount() == k - 1).to_numpy()]
+            low[full["_q"].to_numpy(), 0] = full["score"].to_numpy()
+            held[:] = [rows]
+
+        size = max(64, BLOCK // len(q))
         for part in parts:
             part = part[part["_v"].map(lambda v: v is not None and len(v) == q.shape[1])]
-            for i in range(0, len(part), 2_000):
-                own = part.iloc[i : i + 2_000]
+            for i in range(0, len(part), size):
+                own = part.iloc[i : i + size]
                 m = np.stack(own["_v"].to_numpy()).astype(np.float64)
                 length = np.linalg.norm(m, axis=1, keepdims=True)
                 scores = np.round(q @ np.divide(m, length, out=np.zeros_like(m), where=length > 0).T, 9)
-                keep = min(k, len(own))
-                # all rows not below the k-th score of the block, so that ties stay whole
-                edge = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
+                edge = low
+                if len(own) > k and np.isinf(low).any():
+                    # all rows not below the k-th score of the block, so that ties stay whole
+                    edge = np.maximum(low, -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k])
                 at, col = np.nonzero(scores >= edge)
-                rows = pd.DataFrame({"_q": at, "_k": own["_k"].to_numpy()[col], "score": scores[at, col]})
-                held = rows if held is None else pd.concat([held, rows])
-                held = held.sort_values(["_q", "score", "_k"], ascending=[True, False, True]).groupby("_q").head(k)
-        if held is not None and len(held):
-            yield pd.DataFrame({query_key: [ids[i] for i in held["_q"]], key: held["_k"], "score": held["score"]})
+                held.append(pd.DataFrame({"_q": at, "_k": own["_k"].to_numpy()[col], "score": scores[at, col]}))
+                if sum(map(len, held)) > 2 * k * len(q) or np.isinf(low).any():
+                    cut()
+        if held:
+            cut()
+            rows = held[0]
+            yield pd.DataFrame({query_key: [ids[i] for i in rows["_q"]], key: rows["_k"], "score": rows["score"]})
 
     near = vectors.select(F.col(key).alias("_k"), F.col(vector).alias("_v")).mapInPandas(run, f"`{query_key}` {kinds[0]}, `{key}` {kinds[1]}, score double")
     return best(near, [query_key], k, F.desc("score"), key)
@@ -117,6 +134,19 @@ def cluster_vectors(m: np.ndarray, clusters: int, seed: int = 42, steps: int = 2
     return centres, labels
 
 
+def centres_of(m: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of length 1 of the normalised rows, one for every `most` of them, and the rows' labels."""
+    clusters = math.ceil(len(m) / most)
+    centres, labels = (m.mean(0, keepdims=True), np.zeros(len(m), int)) if clusters <= 1 else cluster_vectors(m, clusters)
+    return normalised(centres), labels
+
+
+def normalised(m: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; a zero row stays."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
 def dynamic_centroids(vectors: DataFrame, by: list[str], vector: str, most: int = MAX_PER_CLUSTER) -> DataFrame:
     """`by`, cluster, centroid, n_vectors: one centroid for every `most` vectors of a group.
 
@@ -125,13 +155,7 @@ def dynamic_centroids(vectors: DataFrame, by: list[str], vector: str, most: int
     kinds = dict(vectors.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        clusters = math.ceil(len(m) / most)
-        centres, labels = (m.mean(0, keepdims=True), np.zeros(len(m), int)) if clusters <= 1 else cluster_vectors(m, clusters)
-        n = np.linalg.norm(centres, axis=1, keepdims=True)
-        centres = np.divide(centres, n, out=np.zeros_like(centres), where=n > 0)
+        centres, labels = centres_of(normalised(np.stack(pdf["_v"].to_numpy()).astype(np.float64)), most)
         out = {c: [pdf[c].iloc[0]] * len(centres) for c in by}
         return pd.DataFrame(out | {"cluster": range(len(centres)), "centroid": list(centres), "n_vectors": np.bincount(labels, minlength=len(centres))})
 
@@ -148,12 +172,38 @@ def best_similarity(centroids: DataFrame, queries: DataFrame, query_key: str, qu
 def select_documents(cand: DataFrame, vectors: DataFrame, key: str, doc: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, top: int = DOCUMENT_TOP_K, most: int = MAX_PER_CLUSTER) -> DataFrame:
     """`query_key`, `doc`, score, rank: the documents whose candidates' centroids lie nearest to the query.
 
-    Ties keep the document whose first candidate ranks higher.
+    The score is the highest cosine with a document's centroids, at least 0; one centroid stands for `most` candidates.
+    Ties keep the document whose first candidate ranks higher. The candidates of a query are looked at together, all
+    documents in one step: most of them have one or two, too few for a call each.
     """
-    own = cand.select(query_key, key, F.col("rank").alias("_r")).join(vectors.select(key, doc, vector), key).where(F.col(doc).isNotNull())
-    first = own.groupBy(query_key, doc).agg(F.min("_r").alias("first_rank"))
-    scores = best_similarity(dynamic_centroids(own, [query_key, doc], vector, most), queries, query_key, query_vector, [query_key, doc])
-    return best(scores.join(first, [query_key, doc]), [query_key], max(1, top), F.desc("score"), "first_rank", doc).drop("first_rank")
+    asked: dict = {}
+    for q, v in bounded_rows(queries.select(query_key, query_vector).distinct(), MAX_QUERIES, "queries"):
+        asked.setdefault(q, []).extend([] if v is None else [np.array(v, np.float64)])
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)
+    own = cand.select(query_key, F.col(key).alias("_k"), F.col("rank").alias("_r")).join(vectors.select(F.col(key).alias("_k"), F.col(doc).alias("_d"), F.col(vector).alias("_v")), "_k")
+    own = own.where(F.col("_d").isNotNull() & F.col("_v").isNotNull())
+
+    def run(rows: pa.Table) -> pa.Table:
+        q = rows.column(query_key)[0].as_py()
+        rows = rows.sort_by([("_d", "ascending"), ("_r", "ascending"), ("_k", "ascending")])
+        doc_of, lists = rows.column("_d").combine_chunks(), rows.column("_v").combine_chunks()
+        code = doc_of.dictionary_encode().indices.to_numpy()  # in order: the rows are sorted
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        score = np.zeros(len(starts))
+        for v in shared.value.get(q, []):
+            fit = np.flatnonzero(pc.list_value_length(lists).to_numpy() == len(v))  # vectors of another length say nothing
+            if len(fit):
+                m = normalised(lists.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1))
+                found, at, n = np.unique(code[fit], return_index=True, return_counts=True)
+                near = normalised(np.add.reduceat(m, at) / n[:, None]) @ normalised(v[None])[0]
+                for i in np.flatnonzero(n > most):
+                    near[i] = (centres_of(m[at[i] : at[i] + n[i]], most)[0] @ normalised(v[None])[0]).max()
+                score[found] = np.maximum(score[found], np.round(near, 9))
+        kept = starts if q in shared.value else starts[:0]
+        return pa.table({query_key: rows.column(query_key).take(pa.array(kept)), "_d": doc_of.take(pa.array(kept)), "score": score[: len(kept)], "first_rank": rows.column("_r").take(pa.array(kept)).cast(pa.int32())})
+
+    scores = own.groupBy(query_key).applyInArrow(run, f"`{query_key}` {dict(cand.dtypes)[query_key]}, _d {dict(vectors.dtypes)[doc]}, score double, first_rank int")
+    return best(scores.withColumnRenamed("_d", doc), [query_key], max(1, top), F.desc("score"), "first_rank", doc).drop("first_rank")
 
 
 def two_stage_search(vectors: DataFrame, key: str, doc: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, other: DataFrame | None = None, top_k: int = 10) -> DataFrame:
