@@ -15,7 +15,9 @@ def _items(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    return splitting.oversized(_items(spark, root), table(spark, root, "chunking_config")).select("item_kind", "item_id")
+    """The items that the splitter cuts, each through its targets, snapping and added pieces."""
+    cuts = splitting.planned(_items(spark, root), table(spark, root, "chunking_config"), texts=False)
+    return cuts.where(F.size("_p") > 0).select("item_kind", "item_id")
 
 
 def p1_pieces(spark: SparkSession, root: str) -> DataFrame:

@@ -245,7 +245,16 @@ def split_oversized(items: DataFrame, config: DataFrame) -> DataFrame:
     rows; other columns are not read. Items are independent: nothing but oversized rows is shuffled, and
     only to drop repeats.
     """
-    big = oversized(items, config)
+    cuts = planned(items, config)
+    flat = cuts.select("item_kind", "item_id", "size_limit", F.size("_p").alias("n_pieces"), F.explode("_p").alias("p"))
+    return flat.select("item_kind", "item_id", "n_pieces", "p.piece_no", "p.char_start", "p.char_end", "p.size", "size_limit", "p.overlap", "p.strength", "p.text")
+
+
+def planned(items: DataFrame, config: DataFrame, texts: bool = True) -> DataFrame:
+    """Every oversized item once, with its pieces in `_p`: targets, snapping and added pieces as `plan` has them.
+
+    Without `texts` the pieces have their places only.
+    """
 
     @F.arrow_udf(_PIECES)
     def cut(text: pa.Array, unit: pa.Array, limit: pa.Array, overlap: pa.Array, kind: pa.Array) -> pa.Array:
@@ -253,15 +262,13 @@ def split_oversized(items: DataFrame, config: DataFrame) -> DataFrame:
         for t, u, n, o, k in zip(*(c.to_pylist() for c in (text, unit, limit, overlap, kind))):
             out.append(
                 [
-                    {"piece_no": i, "char_start": a, "char_end": b, "size": p.end - p.start, "overlap": p.overlap, "strength": p.strength, "text": t[a:b]}
+                    {"piece_no": i, "char_start": a, "char_end": b, "size": p.end - p.start, "overlap": p.overlap, "strength": p.strength, "text": t[a:b] if texts else None}
                     for i, (p, a, b) in enumerate(split_text(t, u, n, o or 0, k == "table"), 1)
                 ]
             )
         return pa.array(out, _PIECE_TYPE)
 
-    cuts = big.withColumn("_p", cut("text", "size_unit", "size_limit", "chunk_overlap", "item_type"))
-    flat = cuts.select("item_kind", "item_id", "size_limit", F.size("_p").alias("n_pieces"), F.explode("_p").alias("p"))
-    return flat.select("item_kind", "item_id", "n_pieces", "p.piece_no", "p.char_start", "p.char_end", "p.size", "size_limit", "p.overlap", "p.strength", "p.text")
+    return oversized(items, config).withColumn("_p", cut("text", "size_unit", "size_limit", "chunk_overlap", "item_type"))
 
 
 def items_of(chunks: DataFrame, nodes: DataFrame) -> DataFrame:

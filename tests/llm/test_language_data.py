@@ -88,6 +88,13 @@ def test_p1_pieces_cover_what_p1_found_lists(spark):
     assert {p[:2] for p in rows(spark, "p1_pieces")} == set(rows(spark, "p1_found"))
 
 
+def test_p1_found_comes_through_the_plans(spark):
+    from tests.conftest import ROOT
+
+    plan = queries.p1_found(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    assert "cut(" in plan and "size(" in plan
+
+
 def test_p1_nulls_limits_and_repeats(spark):
     items = spark.createDataFrame([("chunk", "a", "x", "v", "q w e r"), ("chunk", "a", "x", "v", "q w e r"), ("chunk", "b", None, "v", None), ("chunk", "c", "x", None, "q w e r"), ("node", "d", "table", "v", "q w e"), ("node", "e", "x", "v", "q w e")], "item_kind string, item_id string, item_type string, pipeline_version string, text string")
     conf = spark.createDataFrame([("v", "word", 3, 1, 2)], "pipeline_version string, size_unit string, chunk_size int, chunk_overlap int, table_chunk_size int")
