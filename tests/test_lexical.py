@@ -82,3 +82,15 @@ def test_rerank_moves_no_texts(spark):
 
     plan = search_queries.rerank_overlap(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "text#" not in plan and "keys=[_q" not in plan
+
+
+def test_every_title_is_reranked(spark):
+    from docweave.plans import search_queries
+    from docweave.session import table
+    from tests.conftest import ROOT
+
+    held = {w for r in table(spark, ROOT, "documents").collect() for w in lexical_words(r.text)}
+    titles = {r.row_id for r in table(spark, ROOT, "metadata").collect() if held & set(lexical_words(r.title))}
+    assert any(i % search_queries.EVERY for i in titles)
+    assert {r.row_id for r in search_queries.rerank_overlap(spark, ROOT).select("row_id").collect()} == titles
+    assert "WHERE row_id" not in search_queries.SQL["rerank_overlap"] and "WHERE row_id" in search_queries.SQL["bm25_topk"]
