@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from typing import Protocol, runtime_checkable
 
@@ -56,11 +57,11 @@ class HashedWords:
         self.size = size
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size), np.float32)
-        for i, t in enumerate(texts):
-            for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
-                out[i, h % self.size] += 1.0 if h >> 31 else -1.0
+        words = [(t or "").lower().split() for t in texts]
+        place = {w: 2 * ((h := zlib.crc32(w.encode())) % self.size) + (h >> 31) for w in set(itertools.chain.from_iterable(words))}
+        at = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(words)), np.int64)
+        own = np.repeat(np.arange(len(texts), dtype=np.int64) * self.size, [len(w) for w in words])
+        out = np.bincount(own + (at >> 1), 2.0 * (at & 1) - 1, len(texts) * self.size).reshape(len(texts), self.size).astype(np.float32)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)
 

@@ -169,6 +169,14 @@ def best_similarity(centroids: DataFrame, queries: DataFrame, query_key: str, qu
     return j.groupBy(*by).agg(F.greatest(F.lit(0.0), F.round(F.max(dot(F.col("_qv"), unit(F.col("centroid")))), 9)).alias("score"))
 
 
+def nearest(m: np.ndarray, starts: np.ndarray, n: np.ndarray, q: np.ndarray, most: int = MAX_PER_CLUSTER) -> np.ndarray:
+    """Highest cosine of q with the centroids of each stretch of n normalised rows; one centroid stands for `most` rows."""
+    near = normalised(np.add.reduceat(m, starts) / n[:, None]) @ q
+    for i in np.flatnonzero(n > most):
+        near[i] = (centres_of(m[starts[i] : starts[i] + n[i]], most)[0] @ q).max()
+    return np.round(near, 9)
+
+
 def select_documents(cand: DataFrame, vectors: DataFrame, key: str, doc: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, top: int = DOCUMENT_TOP_K, most: int = MAX_PER_CLUSTER) -> DataFrame:
     """`query_key`, `doc`, score, rank: the documents whose candidates' centroids lie nearest to the query.
 
@@ -195,10 +203,7 @@ def select_documents(cand: DataFrame, vectors: DataFrame, key: str, doc: str, ve
             if len(fit):
                 m = normalised(lists.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fit), -1))
                 found, at, n = np.unique(code[fit], return_index=True, return_counts=True)
-                near = normalised(np.add.reduceat(m, at) / n[:, None]) @ normalised(v[None])[0]
-                for i in np.flatnonzero(n > most):
-                    near[i] = (centres_of(m[at[i] : at[i] + n[i]], most)[0] @ normalised(v[None])[0]).max()
-                score[found] = np.maximum(score[found], np.round(near, 9))
+                score[found] = np.maximum(score[found], nearest(m, at, n, normalised(v[None])[0], most))
         kept = starts if q in shared.value else starts[:0]
         return pa.table({query_key: rows.column(query_key).take(pa.array(kept)), "_d": doc_of.take(pa.array(kept)), "score": score[: len(kept)], "first_rank": rows.column("_r").take(pa.array(kept)).cast(pa.int32())})
 
